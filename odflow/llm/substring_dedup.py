@@ -39,12 +39,13 @@ SPAN = 2 * LENGTH - GRAM  # bytes around an anchor that its windows touch
 SYMBOL = 5  # bytes of a suffix-array symbol
 SIDE = GRAM // SYMBOL  # symbols on each side of the anchor, which is one symbol
 BLOCK_BYTES = 4 << 20
+_SIDES = np.r_[np.arange(GRAM), np.arange(2 * GRAM, SPAN)]  # what is sent of those: the anchor's hash stands for its bytes
 NO_ID = (1 << 63) - 1  # a null id counts as larger than all ids
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
-    return zstandard.compress(pickle.dumps(arrays, protocol=5), 1)
+    return zstandard.compress(pickle.dumps(arrays, protocol=5), 3)
 
 
 def _unpack(blob: bytes) -> dict[str, np.ndarray]:
@@ -229,7 +230,7 @@ def _send(buckets: int):
             cuts = np.searchsorted(b[order], np.arange(buckets + 1))
             for k in np.flatnonzero(np.diff(cuts)).tolist():
                 o = order[cuts[k] : cuts[k + 1]]
-                out.append((k, "around", _pack(h=h[o], whole=whole[o], ids=own[o], doc=doc[o].astype(np.int32), pos=pos[o].astype(np.int64), left=left[o], right=right[o], rows=rows[o])))
+                out.append((k, "around", _pack(h=h[o], ids=own[o], doc=doc[o].astype(np.int32), pos=pos[o].astype(np.int64), left=left[o], right=right[o], rows=rows[o][:, _SIDES])))
             warm = np.flatnonzero(~later & (flag == 2))
             if len(warm):
                 which, step_no = (c.ravel() for c in np.meshgrid(warm, np.arange(STEPS), indexing="ij"))
@@ -292,10 +293,11 @@ def _compare(rows: pa.Table) -> pa.Table:
 def _covered_around(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of surroundings, and the range of each that earlier documents hold."""
     ids, pos, left, right = x["ids"], x["pos"], x["left"].astype(np.int64), x["right"].astype(np.int64)
-    least = _least((x["h"], x["whole"]), ids)
+    whole = _hash_rows(x["rows"], x["left"], x["right"])
+    least = _least((x["h"], whole), ids)
     late = np.flatnonzero(ids > least)
-    order = np.lexsort((ids, x["whole"], x["h"]))
-    h, whole = x["h"][order], x["whole"][order]
+    order = np.lexsort((ids, whole, x["h"]))
+    h, whole = x["h"][order], whole[order]
     new_group = np.r_[True, h[1:] != h[:-1]]
     new_class = new_group | np.r_[True, whole[1:] != whole[:-1]]
     class_of = np.empty(len(ids), np.int64)
@@ -312,7 +314,7 @@ def _covered_around(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, n
             b += 1
         these = open_[edges[a] : edges[b] if b < len(edges) else len(open_)]
         r = head[these]
-        low[these], high[these] = _windows(x["rows"][r], left[r], right[r], group[these], ids[r])
+        low[these], high[these] = _windows(_whole(x["rows"][r]), left[r], right[r], group[these], ids[r])
         a = b
     rest = np.flatnonzero((ids == least) & (high[class_of] >= 0))
     c = class_of[rest]
@@ -321,6 +323,13 @@ def _covered_around(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, n
     return row, begin, np.r_[pos[late] + right[late], pos[rest] - GRAM + high[c] + LENGTH]
 
 
+def _whole(sides: np.ndarray) -> np.ndarray:
+    """The surroundings in their full width; the bytes of the anchor, equal within a group, stay 0."""
+    rows = np.zeros((len(sides), SPAN), np.uint8)
+    rows[:, _SIDES] = sides
+    return rows
+
+
 def _windows(rows: np.ndarray, left: np.ndarray, right: np.ndarray, group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last window (SPAN and -1: none) of each row that a row of its group with a smaller id has at the same place."""
     m, width = len(rows), 2 * SIDE + 1
