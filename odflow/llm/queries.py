@@ -7,15 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .simhash import near_duplicates
 from .substring_dedup import remove_repeats
+from .warc import read_archives, write_archives
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op2_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = read_archives(write_archives(table(spark, sf_dir, "pages")))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_warc_roundtrip": op2_warc_roundtrip,
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
 }
 
 SQL: dict[str, str] = {}
