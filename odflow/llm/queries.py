@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .context_mixing import score_texts
+from .mixing import mix
 from .packing import pack
+from .privacy import KINDS, pseudonymise
+from .quality_classifier import fit, score_quality
+from .quality_rules import quality_rules
 from .simhash import near_duplicates
 from .substring_dedup import remove_repeats
 from .topk import top_k
@@ -24,10 +29,27 @@ def op2_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_private_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", *[F.col(f"_found.{k}").alias(f"n_{k}") for k in KINDS])
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def _remainder(of: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), _remainder(3) == 1
+    return score_quality(docs, fit(docs, table(spark, sf_dir, "labels").where(~held_out)), held_out)
+
+
+def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), _remainder(7) == 2)
+
+
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -36,12 +58,33 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", "_rules.*")
+
+
+#: Token shares that the mixture is raked to.
+TARGETS = {
+    "source": {"src0": 0.3},
+    "lang": {"en": 0.6, "de": 0.15, "fr": 0.15, "es": 0.1},
+    "topic": {f"t{k}": 0.125 for k in range(8)},
+}
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), TARGETS).select("doc_id", "source", "lang", "_mix.*")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_warc_roundtrip": op2_warc_roundtrip,
+    "op3_private_pseudonyms": op3_private_pseudonyms,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_context_mixing": op6_context_mixing,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_packing": op8_packing,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_source_mixing": op10_source_mixing,
 }
 
 SQL: dict[str, str] = {
