@@ -27,14 +27,14 @@ def _measure(texts: pd.Series) -> pd.DataFrame:
     out = []
     for text in texts:
         words = (text or "").lower().split()
-        long_ = Counter(w for w in words if len(w) > 5)
-        top = min(long_.items(), key=lambda x: (-x[1], x[0]))[0] if long_ else ""
-        out.append((len(words), f"t{crc32(top.encode()) % TOPICS}" if top else "none"))
+        counts = Counter(w for w in words if len(w) > 5) or Counter(words) or {"": 1}
+        top = min(counts.items(), key=lambda x: (-x[1], x[0]))[0]
+        out.append((len(words), f"t{crc32(top.encode()) % TOPICS}"))
     return pd.DataFrame(out, columns=["tokens", "topic"])
 
 
 def measure(text: Column) -> Column:
-    """Struct of tokens (words) and topic: the bucket of the most frequent word of over five letters, ties to the lesser word."""
+    """Struct of tokens (words) and topic: the bucket of the most frequent word of over five letters (else of any word, else of none), ties to the lesser word."""
     return _measure(text)
 
 
@@ -69,7 +69,7 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]], text_col: str = "
 
     targets names for each dimension (a column of docs, or "topic", measured from
     the text) the token shares of its categories; the category "*" is the rest, null
-    values among it. weight is the cell's fitted over observed tokens, probability
+    values among it, with what is left of 1 unless it is named. weight is the cell's fitted over observed tokens, probability
     is weight over the largest weight, and a document is sampled if the hash of its
     id and text, as a number from 0 to 1, is below it. So repeated rows are sampled
     alike. Documents without a token weigh nothing in the fit and keep their cell's
@@ -93,7 +93,7 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]], text_col: str = "
     observed = np.zeros([len(c) for c in categories])
     for r in sums:
         observed[tuple(c.index(r[k]) for c, k in zip(categories, keys, strict=True))] = r.tokens
-    fitted = rake(observed, [np.array([t.get(n, 0.0) for n in c]) for t, c in zip(targets.values(), categories, strict=True)])
+    fitted = rake(observed, [np.array([t.get(n, max(0.0, 1 - sum(t.values())) if n == REST else 0.0) for n in c]) for t, c in zip(targets.values(), categories, strict=True)])
     weight = np.divide(fitted, observed, out=np.ones_like(fitted), where=observed > 0)
     top = max(float(weight[observed > 0].max(initial=0)), 0) or 1.0
     table = [(*names, float(weight[i]), min(1.0, float(weight[i] / top))) for names, i in zip(product(*categories), np.ndindex(*observed.shape), strict=True)]

@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     chosen = good.orderBy(F.xxhash64("doc_id"), "label").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = texts.join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(_extract, "label int, index binary, value binary")
-    rows = [(np.frombuffer(r.index, "<i4"), np.frombuffer(r.value, "<f4"), r.label) for r in found.collect()]
+    rows = [(np.frombuffer(r["index"], "<i4"), np.frombuffer(r["value"], "<f4"), r["label"]) for r in found.collect()]
     rows.sort(key=lambda r: (zlib.crc32(r[0].tobytes() + r[1].tobytes()), r[2]))  # whatever order the tasks ended in
     return FactorisationMachine(rank).fit(rows)
 

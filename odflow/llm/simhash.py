@@ -53,7 +53,7 @@ def _fingerprints(words_each: int):
             for k, text in enumerate(batch.column(1)):
                 raw = text.as_buffer()
                 out[k] = fingerprint(raw.to_pybytes(), words_each) if raw is not None else 0
-            yield pa.record_batch([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), pa.array(out.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "digest"])
 
     return run
 
@@ -198,21 +198,37 @@ def near_links(prints: DataFrame, buckets: int, near: int = NEAR, large: int = 4
     return found
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words_each: int = 4, near: int = NEAR) -> DataFrame:
-    """(doc_id, fingerprint, component_id, group_key) for each row.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words_each: int = 4, near: int = NEAR, digest: bool = False) -> DataFrame:
+    """(doc_id, fingerprint, component_id, group_key, and if asked the text's digest) for each row.
 
     component_id is the smallest id reachable over fingerprints that differ in at
     most near bits; group_key is the component itself, also where all ids are null.
     Null and empty texts have no words, so fingerprint zero, linked like any
     other. Repeated rows share a component. Other columns are ignored.
     """
-    two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    three = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), (F.xxhash64(text) if digest else F.lit(0).cast("long")).alias("digest"))
     buckets = buckets_for(docs, 4 << 20, 64)
-    prints = cut(two.mapInArrow(_fingerprints(words_each), "doc_id long, fp long"), "prints")
+    prints = cut(three.mapInArrow(_fingerprints(words_each), "doc_id long, fp long, digest long"), "prints")
     groups = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(near_links(groups.select("fp"), buckets, near))
     linked = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     by_root = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     of_print = linked.select("fp", "root").join(by_root, "root")
     joined = prints.join(of_print, "fp")
-    return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.col("root").alias("group_key"))
+    return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.col("root").alias("group_key"), *["digest"] * digest)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words_each: int = 5, near: int = NEAR) -> DataFrame:
+    """docs without near-duplicates: of each component the row with the smallest id, all its columns as they are.
+
+    Of repeated rows one stays. A component whose ids are all null keeps the row with
+    the least hash of its text.
+    """
+    digest = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    found = near_duplicates(named, "id", "text", words_each=words_each, near=near, digest=True)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("group_key").agg(F.min(F.struct("doc_id", "digest")).alias("k"))
+    keepers = first.select(F.coalesce(F.col("k.doc_id").cast("string"), F.lit("")).alias("_id"), F.col("k.digest").alias("_digest"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")).alias("_id"), digest.alias("_digest"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return rows.join(keepers, ["_id", "_digest"], "left_semi").dropDuplicates(["_id", "_digest"]).select("_row.*")
