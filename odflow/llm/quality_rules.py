@@ -40,7 +40,7 @@ def repeat_words(words: Column) -> Column:
 
 def text_rules(text: Column) -> Column:
     """Struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text without null."""
-    has_word = lambda line: F.length(F.translate(line, SPACE, "")) > 0
+    has_word = lambda line: line.rlike("[^\\x20\\x09-\\x0D]")
     duplicates = let(F.filter(F.split(text, "\n"), has_word), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
     return let(
         words_of(text),

@@ -64,7 +64,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Token shares that the mixture is raked to.
 TARGETS = {
-    "source": {"src0": 0.3},
+    "source": {"src0": 0.12},
     "lang": {"en": 0.6, "de": 0.15, "fr": 0.15, "es": 0.1},
     "topic": {f"t{k}": 0.125 for k in range(8)},
 }
