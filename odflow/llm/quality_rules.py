@@ -65,9 +65,11 @@ def _lines(text: Column) -> Column:
     return F.filter(each, lambda x: x["words"] > 0)
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", *, max_share: float = 0.01, max_docs: int = 10, min_kept: float = 0.3) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", *, max_share: float = 0.01, max_docs: int = 10, min_kept: float = 0.3, with_text: bool = True) -> DataFrame:
     """The rows of docs with two more columns, _rules (struct) and _cleaned (text without the removed lines).
 
+    Without with_text, the texts and _cleaned are left out and no text is shuffled.
+
     _rules has n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, n_removed_lines, kept_words and kept. A line is removed if it is in
     more than max_docs distinct texts of its host and in more than max_share of the
@@ -85,7 +87,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     counts = lines.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > max_docs)
     frequent = counts.join(sizes, "host").where(F.col("n") > max_share * F.col("n_texts")).select("host", "h")
     removed = lines.join(frequent, ["host", "h"]).groupBy("k1", "k2", "host").agg(F.collect_set("h").alias("_frequent"))
-    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *key, text_rules(text).alias("_base"), _lines(text).alias("_lines"))
+    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if with_text or c != text_col]).alias("_row"), *key, text_rules(text).alias("_base"), _lines(text).alias("_lines"))
     joined = wide.join(removed, ["k1", "k2", "host"], "left")
     gone = lambda h: F.coalesce(F.array_contains("_frequent", h), F.lit(False))
     left = F.aggregate(F.filter("_lines", lambda x: ~gone(x["h"])), F.lit(0).cast("long"), lambda a, x: a + x["words"])
@@ -94,6 +96,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base_failed = (F.col("_base.n_words") < MIN_WORDS) | (100 * F.col("_base.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_base.n_words"))
     depleted = (F.col("_gone") > 0) & ((F.col("_left") < MIN_WORDS) | (F.col("_left") < min_kept * F.col("_base.n_words")))
     rules = F.struct(*[F.col(f"_base.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], base_failed.alias("base_failed"), F.col("_gone").alias("n_removed_lines"), F.col("_left").alias("kept_words"), (~base_failed & ~depleted).alias("kept"))
+    if not with_text:
+        return joined.select("_row", rules.alias("_rules")).select("_row.*", "_rules")
     own = F.col("_row")[text_col].cast("string")
     cleaned = F.when(F.col("_gone") == 0, own).otherwise(F.array_join(F.filter(F.split(own, "\n"), lambda x: (F.length(F.translate(x, SPACE, "")) == 0) | ~gone(line_hash(x))), "\n"))
     return joined.select("_row", rules.alias("_rules"), cleaned.alias("_cleaned")).select("_row.*", "_rules", "_cleaned")

@@ -59,7 +59,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", "_rules.*")
+    return quality_rules(table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "_rules.*")
 
 
 #: Token shares that the mixture is raked to.
