@@ -1,6 +1,8 @@
-"""Registry of the flow queries and their SQL."""
+"""All flow queries and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from .plans import flow_queries, geo_queries, io_queries, model_queries, report_queries  # noqa: F401
+from .plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
