@@ -23,6 +23,8 @@ from .common import cut
 CACHE_WORDS = 400_000
 #: Separators that Python's split() takes for white space and the tokenizer's \s does not.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: The tokenizer's pieces of a lower-cased word without characters over U+00FF.
+PIECES_OF = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 
 
 def default_tokenizer() -> str:
@@ -31,17 +33,49 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable Latin-1, else the next from U+0100."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class WordIds(dict):
-    """Word -> its ids as bytes. The tokenizer never joins characters across white space, so a text's ids are its words' ids."""
+    """Word -> its ids as bytes. The tokenizer never joins characters across white space, so a text's ids are its words' ids.
+
+    Words up to U+00FF are cut into the tokenizer's pieces here, which normal form
+    leaves as they are, and its model gives each piece's ids; all other words, and
+    those with a special token in them, go through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters, self.pieces = self.tokenizer.model, byte_letters(), {}
+        plain = "A Thin's 12x,é!"  # does the short way hold for this vocabulary?
+        self.short = all(self._short(w) == self._whole(w) for w in plain.split())
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _short(self, word: str) -> bytes:
+        out = []
+        for piece in PIECES_OF.findall(word.lower()):
+            ids = self.pieces.get(piece)
+            if ids is None:
+                letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+                ids = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+                if len(self.pieces) >= CACHE_WORDS:
+                    self.pieces.clear()
+                if len(piece) < 40:
+                    self.pieces[piece] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self._short(word) if self.short and max(word) <= "\xff" and "<|" not in word and word.isprintable() else self._whole(word)
         if len(word) < 40:
             if len(self) >= CACHE_WORDS:
                 self.clear()
@@ -50,7 +84,7 @@ class WordIds(dict):
 
     def text(self, text: str) -> bytes:
         if ODD_SPACE.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self._whole(text)
         return b"".join(map(self.__getitem__, text.split()))
 
 
