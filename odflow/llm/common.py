@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,3 +50,11 @@ def buckets_for(df: DataFrame, bytes_each: int, least: int = 32, most: int = 655
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def once_a_worker(name: str, make: Callable):
+    """make()'s result, kept for all tasks that the Python worker runs; functions that travel by value have no globals that last."""
+    kept = sys.modules.setdefault("_odflow_worker", types.ModuleType("_odflow_worker")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]

@@ -9,7 +9,9 @@ size that it crosses. Sequences are full but for the very last one.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,9 +20,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, once_a_worker
 
-CACHE_WORDS = 400_000
+CACHE_WORDS, CACHE_PIECES = 150_000, 250_000
 #: Separators that Python's split() takes for white space and the tokenizer's \s does not.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: The tokenizer's pieces of a lower-cased word without characters over U+00FF.
@@ -40,6 +42,14 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    """As unsigned little-endian 32 bit numbers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class WordIds(dict):
     """Word -> its ids as bytes. The tokenizer never joins characters across white space, so a text's ids are its words' ids.
 
@@ -58,7 +68,7 @@ class WordIds(dict):
         self.short = all(self._short(w) == self._whole(w) for w in plain.split())
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return pack_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _short(self, word: str) -> bytes:
         out = []
@@ -66,8 +76,8 @@ class WordIds(dict):
             ids = self.pieces.get(piece)
             if ids is None:
                 letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-                ids = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
-                if len(self.pieces) >= CACHE_WORDS:
+                ids = pack_ids([t.id for t in self.model.tokenize(letters)])
+                if len(self.pieces) >= CACHE_PIECES:
                     self.pieces.clear()
                 if len(piece) < 40:
                     self.pieces[piece] = ids
@@ -75,7 +85,7 @@ class WordIds(dict):
         return b"".join(out)
 
     def __missing__(self, word: str) -> bytes:
-        ids = self._short(word) if self.short and max(word) <= "\xff" and "<|" not in word and word.isprintable() else self._whole(word)
+        ids = self._short(word) if self.short and (word.isascii() or max(word) <= "\xff") and "<|" not in word and word.isprintable() else self._whole(word)
         if len(word) < 40:
             if len(self) >= CACHE_WORDS:
                 self.clear()
@@ -89,13 +99,13 @@ class WordIds(dict):
 
 
 def _tokenise(path: str, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
+    end = pack_ids([end_id])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, at = WordIds(path), TaskContext.get().partitionId(), 0
+        words, part, at = once_a_worker(f"words {path}", lambda: WordIds(path)), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                some = batch.slice(a, 1000)
+            for a in range(0, batch.num_rows, 500):
+                some = batch.slice(a, 500)
                 ids = [words.text(t or "") + end for t in some.column(1).to_pylist()]
                 sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
                 starts = at + np.r_[0, np.cumsum(sizes)[:-1]]
@@ -114,7 +124,7 @@ def _cut(size: int, with_ids: bool):
     names = [x.split()[0] for x in PIECES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(a, 1000) for whole in batches for a in range(0, whole.num_rows, 1000)):
             out, pieces = [], []
             for doc, at, n, blob in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "at", "tokens", "ids")), strict=True):
                 raw = memoryview(np.frombuffer(blob, "<u2").astype("<u4").tobytes() if len(blob) == 2 * n else blob)
