@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 
 from .common import cut, once_a_worker
 
-CACHE_WORDS, CACHE_PIECES = 150_000, 250_000
-#: Separators that Python's split() takes for white space and the tokenizer's \s does not.
+CACHE = 400_000
+#: Separators that Python takes for white space and the tokenizer's \s does not.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
-#: The tokenizer's pieces of a lower-cased word without characters over U+00FF.
-PIECES_OF = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+#: The tokenizer's pieces of a lower-cased text without characters over U+00FF.
+PIECES_OF = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾\s]+")
 
 
 def default_tokenizer() -> str:
@@ -50,12 +50,13 @@ def pack_ids(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
-class WordIds(dict):
-    """Word -> its ids as bytes. The tokenizer never joins characters across white space, so a text's ids are its words' ids.
+class PieceIds(dict):
+    """Piece of a text -> its ids as bytes, by the tokenizer's model.
 
-    Words up to U+00FF are cut into the tokenizer's pieces here, which normal form
-    leaves as they are, and its model gives each piece's ids; all other words, and
-    those with a special token in them, go through the whole tokenizer.
+    Texts up to U+00FF, which normal form leaves as they are, are cut into the
+    tokenizer's pieces here. Of other texts each word is, for the tokenizer never
+    joins characters across white space; words that have other characters, or a
+    special token, go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -63,46 +64,45 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.letters, self.pieces = self.tokenizer.model, byte_letters(), {}
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         plain = "A Thin's 12x,é!"  # does the short way hold for this vocabulary?
-        self.short = all(self._short(w) == self._whole(w) for w in plain.split())
+        self.short = self._short(plain) == self._whole(plain)
 
     def _whole(self, text: str) -> bytes:
         return pack_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _short(self, word: str) -> bytes:
-        out = []
-        for piece in PIECES_OF.findall(word.lower()):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-                ids = pack_ids([t.id for t in self.model.tokenize(letters)])
-                if len(self.pieces) >= CACHE_PIECES:
-                    self.pieces.clear()
-                if len(piece) < 40:
-                    self.pieces[piece] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self._short(word) if self.short and (word.isascii() or max(word) <= "\xff") and "<|" not in word and word.isprintable() else self._whole(word)
-        if len(word) < 40:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = ids
+    def __missing__(self, piece: str) -> bytes:
+        letters = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
+        ids = pack_ids([t.id for t in self.model.tokenize(letters)])
+        if len(self) >= CACHE:
+            self.clear()
+        if len(piece) < 40:
+            self[piece] = ids
         return ids
 
+    def _short(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, PIECES_OF.findall(text.lower())))
+
+    def _is_short(self, text: str) -> bool:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return self.short
+
     def text(self, text: str) -> bytes:
-        if ODD_SPACE.search(text):
+        if "<|" in text or ODD_SPACE.search(text):
             return self._whole(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        if self._is_short(text):
+            return self._short(text)
+        return b"".join([self._short(w) if self._is_short(w) else self._whole(w) for w in text.split()])
 
 
 def _tokenise(path: str, end_id: int):
     end = pack_ids([end_id])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, at = once_a_worker(f"words {path}", lambda: WordIds(path)), TaskContext.get().partitionId(), 0
+        words, part, at = once_a_worker(f"pieces {path}", lambda: PieceIds(path)), TaskContext.get().partitionId(), 0
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 some = batch.slice(a, 500)
