@@ -9,33 +9,43 @@ driver sees. Cell weights are scaled to one marginal after the other until all h
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from itertools import product
+from zlib import crc32
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 REST = "*"  # the category of all values without a target of their own
 TOPICS = 8
 
 
-@F.pandas_udf("struct<tokens: long, topic: string>")
-def _measure(texts: pd.Series) -> pd.DataFrame:
-    from zlib import crc32
+def measure(text: str | None) -> tuple[int, str]:
+    """Tokens (words), and the topic: the bucket of the most frequent word of over five letters (else of any word, else of none), ties to the lesser word."""
+    words = (text or "").lower().split()
+    counts = Counter(w for w in words if len(w) > 5) or Counter(words) or {"": 1}
+    top = min(counts.items(), key=lambda x: (-x[1], x[0]))[0]
+    return len(words), f"t{crc32(top.encode()) % TOPICS}"
 
-    out = []
-    for text in texts:
-        words = (text or "").lower().split()
-        counts = Counter(w for w in words if len(w) > 5) or Counter(words) or {"": 1}
-        top = min(counts.items(), key=lambda x: (-x[1], x[0]))[0]
-        out.append((len(words), f"t{crc32(top.encode()) % TOPICS}"))
-    return pd.DataFrame(out, columns=["tokens", "topic"])
 
+def _measured(rows: DataFrame, text_col: str) -> DataFrame:
+    """rows as column _row, with _m: struct of tokens and topic of the text; texts go through Python in Arrow batches of 1000."""
 
-def measure(text: Column) -> Column:
-    """Struct of tokens (words) and topic: the bucket of the most frequent word of over five letters (else of any word, else of none), ties to the lesser word."""
-    return _measure(text)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(a, 1000) for whole in batches for a in range(0, whole.num_rows, 1000)):
+            found = [measure(t) for t in batch.column("__text").to_pylist()]
+            tokens, topics = pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string())
+            yield pa.record_batch([batch.column("_row"), pa.StructArray.from_arrays([tokens, topics], names=["tokens", "topic"])], names=["_row", "_m"])
+
+    inner = T.StructType([T.StructField("tokens", T.LongType()), T.StructField("topic", T.StringType())])
+    names = [c for c in rows.columns if c != "__text"]
+    row = rows.select(*[f"`{c}`" for c in names]).schema
+    schema = T.StructType([T.StructField("_row", row), T.StructField("_m", inner)])
+    made = rows.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{text_col}`").cast("string").alias("__text"))
+    return made.mapInArrow(run, schema)
 
 
 def rake(observed: np.ndarray, targets: list[np.ndarray], rounds: int = 500, tolerance: float = 1e-10) -> np.ndarray:
@@ -79,17 +89,15 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]], text_col: str = "
     if not dims or any(not t for t in targets.values()):
         raise ValueError("each dimension needs targets")
     categories = [[*dict.fromkeys([*t, REST])] for t in targets.values()]
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    measured = docs.select(row, measure(text).alias("_m"))
-
     def category(dim: str, names: list[str]) -> Column:
         value = F.col("_m.topic") if dim == "topic" else F.col("_row")[dim].cast("string")
         return F.when(value.isin([n for n in names if n != REST]), value).otherwise(REST)
 
     cells = [category(d, c).alias(f"_c{k}") for k, (d, c) in enumerate(zip(dims, categories, strict=True))]
     keys = [f"_c{k}" for k in range(len(dims))]
-    sums = measured.select(F.col("_m.tokens").alias("tokens"), *cells).groupBy(*keys).agg(F.sum("tokens").alias("tokens")).collect()
+    plain = [d for d in dims if d != "topic"]
+    short = _measured(docs.select(*[F.col(f"`{d}`") for d in plain] or [F.lit(0).alias("none")], F.col(f"`{text_col}`").alias("__text")), "__text")
+    sums = short.select(F.col("_m.tokens").alias("tokens"), *cells).groupBy(*keys).agg(F.sum("tokens").alias("tokens")).collect()
     observed = np.zeros([len(c) for c in categories])
     for r in sums:
         observed[tuple(c.index(r[k]) for c, k in zip(categories, keys, strict=True))] = r.tokens
@@ -100,6 +108,6 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]], text_col: str = "
     spark = docs.sparkSession
     factors = spark.createDataFrame(table, ", ".join([f"{k} string" for k in keys] + ["_weight double", "_probability double"]))
     drawn = F.shiftrightunsigned(F.xxhash64(F.col("_row")[id_col].cast("string"), F.col("_row")[text_col].cast("string"), F.lit(seed)), 11) / F.lit(float(1 << 53))
-    joined = measured.select("_row", "_m", *cells).join(F.broadcast(factors), keys)
+    joined = _measured(docs, text_col).select("_row", "_m", *cells).join(F.broadcast(factors), keys)
     out = F.struct(F.col("_m.tokens").alias("tokens"), F.col("_m.topic").alias("topic"), F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), (drawn < F.col("_probability")).alias("sampled"))
     return joined.select("_row", out.alias("_mix")).select("_row.*", "_mix")

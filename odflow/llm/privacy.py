@@ -213,6 +213,6 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", *, key: str = "odflow"
 
     none = F.struct(text.cast("string").alias("text"), F.struct(*[F.lit(0).cast("long").alias(k) for k in kinds]).alias("found"))
     result = F.when(text.rlike(r"[0-9]{2}|@|[=:]"), let(found, lambda f: F.when(F.size(f) > 0, changed(f)).otherwise(none))).otherwise(none)
-    out = docs.withColumn("_private", result)
-    names = [F.col("_private.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*names, F.col("_private.found").alias("_found"))
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), result.alias("_made"))
+    names = [F.col("_made.text").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns]
+    return out.select(*names, F.col("_made.found").alias("_found"))

@@ -87,6 +87,7 @@ class FactorisationMachine:
     def fit(self, rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 6, batch: int = 128, rate: float = 0.1, l2: float = 1e-4, seed: int = 7) -> FactorisationMachine:
         labels = np.array([r[2] for r in rows], np.float32)
         if not len(rows):
+            self.v[:] = 0
             return self
         mean = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3))
         self.bias = float(np.log(mean / (1 - mean)))

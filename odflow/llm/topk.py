@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EXACT = 1 << 53  # floats hold all integers below
+LEAST, MOST = -(1 << 63), (1 << 63) - 1  # scores beyond a long count as its ends
 
 
 def quantise(vectors: list[list[float]]) -> np.ndarray:
@@ -59,6 +60,8 @@ def _lists(ids: np.ndarray, queries: np.ndarray, k: int, dim_blocks: int, cutoff
         for own, rows in chunks(batches):
             lists = _products(queries, rows, blocks)
             total = sum(lists[1:], lists[0])
+            if total.dtype == object:
+                total = np.minimum(np.maximum(total, LEAST), MOST)
             if cutoff is None:
                 n = min(k + 1, len(own))  # one more: a query's own row takes no part
                 tops = np.concatenate([np.argsort(p, axis=1)[:, -n:] if p.dtype == object else np.argpartition(p, len(own) - n, axis=1)[:, -n:] for p in lists], axis=1)
@@ -67,7 +70,7 @@ def _lists(ids: np.ndarray, queries: np.ndarray, k: int, dim_blocks: int, cutoff
                     row = row[own[row] != ids[i]]
                     found[i] = sorted(found[i] + [(-int(s), int(own[r])) for r, s in zip(row.tolist(), total[i, row].tolist(), strict=True)])[:k]
             else:
-                low = np.array([cutoff.get(int(i), -np.inf) for i in ids], np.float64 if total.dtype != object else object)
+                low = np.array([-np.inf if cutoff.get(int(i), LEAST) == LEAST else cutoff[int(i)] for i in ids], np.float64 if total.dtype != object else object)
                 enough = np.zeros(total.shape, bool)
                 for p in lists:
                     enough |= (p * len(blocks) >= low[:, None]).astype(bool)
@@ -94,7 +97,7 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "ve
     vector, or a null or non-finite component, take no part, as query or as
     candidate. Vectors meet those of their own length only. Rows that share the
     query's id are not its candidates; repeated other rows each count. A repeated
-    query row is one query. Other columns are ignored.
+    query row is one query. Scores beyond a long are cut to its range. Other columns are ignored.
     """
     clean = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     usable = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
