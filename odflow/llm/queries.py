@@ -104,4 +104,23 @@ SQL: dict[str, str] = {
             FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
         r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s)
         SELECT * FROM r WHERE rank <= 5""",
+    "op9_quality_rules": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS host FROM documents),
+        w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
+        win AS (SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w)),
+        rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c FROM win) WHERE c > 1),
+        cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, (SELECT unnest(range(8)) AS k) GROUP BY doc_id),
+        l AS (SELECT *, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS h, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
+            FROM (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d)),
+        lw AS (SELECT * FROM l WHERE n > 0),
+        dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lw GROUP BY doc_id),
+        freq AS (SELECT host, h FROM (SELECT host, h, count(DISTINCT text) AS c FROM lw GROUP BY host, h) JOIN (SELECT host, count(DISTINCT text) AS t FROM d GROUP BY host) USING (host)
+            WHERE c > 10 AND c > 0.01 * t),
+        rm AS (SELECT doc_id, count(*) AS lines, sum(n) AS gone FROM lw JOIN freq USING (host, h) GROUP BY doc_id),
+        x AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+            CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words,
+            CAST(coalesce(rm.lines, 0) AS BIGINT) AS n_removed_lines, CAST(len(words) - coalesce(rm.gone, 0) AS BIGINT) AS kept_words
+            FROM w LEFT JOIN dup ON dup.doc_id = w.doc_id LEFT JOIN cov ON cov.doc_id = w.doc_id LEFT JOIN rm ON rm.doc_id = w.doc_id),
+        y AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM x)
+        SELECT *, NOT base_failed AND NOT (n_removed_lines > 0 AND (kept_words < 20 OR kept_words < 0.3 * n_words)) AS kept FROM y""",
 }
