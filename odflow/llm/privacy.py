@@ -24,8 +24,8 @@ _IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
 _IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 _DATE = r"(?<![\d/.-])(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})(?![-/]?\d)"
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-_PHONE = r"(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\+(?!1\b)\d{2,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-]?\d)"
-_CARD = r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![ -]?\d)"
+_PHONE = r"(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\+(?!1\b)\d{2,3}(?:[ .-]?\d{2,4}){2,4}(?!\.?\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-]?\d)"
+_CARD = r"(?<!\d)(?:\d{13,19}|\d{4}(?: \d{4}){3}(?: \d{3})?|\d{4}(?:-\d{4}){3}(?:-\d{3})?|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)"
 _SECRET = r"\bAKIA[A-Z0-9]{16}\b|(?i:\b(?:password|passwd|pwd|secret|api_?key|token)[=:])[^\s\"']+|\b[0-9a-f]{40}\b"
 _CANDIDATE = "|".join((_EMAIL, _SECRET, _IBAN, _IP, _DATE, _SSN, _PHONE, _CARD))
 
@@ -212,7 +212,7 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", *, key: str = "odflow"
         return F.struct(joined.alias("text"), counts.alias("found"))
 
     none = F.struct(text.cast("string").alias("text"), F.struct(*[F.lit(0).cast("long").alias(k) for k in kinds]).alias("found"))
-    result = F.when(text.rlike(r"[0-9]{2}|@|[=:]"), let(found, lambda f: F.when(F.size(f) > 0, changed(f)).otherwise(none))).otherwise(none)
+    result = F.when(text.rlike("[0-9@=:]|AKIA"), let(found, lambda f: F.when(F.size(f) > 0, changed(f)).otherwise(none))).otherwise(none)
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), result.alias("_made"))
     names = [F.col("_made.text").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns]
     return out.select(*names, F.col("_made.found").alias("_found"))
