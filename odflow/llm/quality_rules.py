@@ -74,7 +74,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base_failed, n_removed_lines, kept_words and kept. A line is removed if it is in
     more than max_docs distinct texts of its host and in more than max_share of the
     host's distinct texts. A document is kept if the base rules pass and, where lines
-    went, at least MIN_WORDS words and the share min_kept of its words are left.
+    went, at least the share min_kept of its words is left.
     Null texts count as empty, a null host is the host "". Repeated rows get the
     same verdict. The columns of docs stay as they are, whatever their names but
     those two.
@@ -94,7 +94,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     joined = joined.withColumn("_left", F.when(F.col("_frequent").isNull(), F.col("_base.n_words")).otherwise(left))
     joined = joined.withColumn("_gone", F.when(F.col("_frequent").isNull(), F.lit(0)).otherwise(F.size(F.filter("_lines", lambda x: gone(x["h"])))).cast("long"))
     base_failed = (F.col("_base.n_words") < MIN_WORDS) | (100 * F.col("_base.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_base.n_words"))
-    depleted = (F.col("_gone") > 0) & ((F.col("_left") < MIN_WORDS) | (F.col("_left") < min_kept * F.col("_base.n_words")))
+    depleted = (F.col("_gone") > 0) & (F.col("_left") < min_kept * F.col("_base.n_words"))
     rules = F.struct(*[F.col(f"_base.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], base_failed.alias("base_failed"), F.col("_gone").alias("n_removed_lines"), F.col("_left").alias("kept_words"), (~base_failed & ~depleted).alias("kept"))
     if not with_text:
         return joined.select("_row", rules.alias("_rules")).select("_row.*", "_rules")

@@ -122,5 +122,5 @@ SQL: dict[str, str] = {
             CAST(coalesce(rm.lines, 0) AS BIGINT) AS n_removed_lines, CAST(len(words) - coalesce(rm.gone, 0) AS BIGINT) AS kept_words
             FROM w LEFT JOIN dup ON dup.doc_id = w.doc_id LEFT JOIN cov ON cov.doc_id = w.doc_id LEFT JOIN rm ON rm.doc_id = w.doc_id),
         y AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM x)
-        SELECT *, NOT base_failed AND NOT (n_removed_lines > 0 AND (kept_words < 20 OR kept_words < 0.3 * n_words)) AS kept FROM y""",
+        SELECT *, NOT base_failed AND NOT (n_removed_lines > 0 AND kept_words < 0.3 * n_words) AS kept FROM y""",
 }
