@@ -1 +1,10 @@
-"""odflow: origin-destination flow analytics on Spark DataFrames."""
+"""odflow: origin-destination flow analytics on Spark DataFrames.
+
+Functions shipped to Python workers travel by value, so executors need no copy of it.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -49,6 +49,9 @@ class EngineConfig:
     log_interval: int = 1
     device: str = "cpu"
     mode: str = "train"
+    model: str = "DG"
+    workers: int = 8
+    dropout: float = 0.0
     tessellation_area: str = "United Kingdom"
     tessellation_size: float = 25000
     dataset: str = "new_york"

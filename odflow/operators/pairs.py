@@ -28,6 +28,13 @@ def od_pairs(locations: DataFrame, columns: tuple[str, ...] = (), split: int = 1
     return o.join(d, ["tile_id", "part"]).drop("part")
 
 
+def described(pairs: DataFrame, locations: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """pairs (origin, destination, ...) with o_ and d_ copies of the locations' columns."""
+    for end, mark in (("origin", "o"), ("destination", "d")):
+        pairs = pairs.join(locations.select(F.col("loc_id").alias(end), *[F.col(c).alias(f"{mark}_{c}") for c in columns]), end)
+    return pairs
+
+
 def with_flow(pairs: DataFrame, flows: DataFrame) -> DataFrame:
     """pairs with t, the observed flow, 0 where there is none."""
     return pairs.join(flows, ["origin", "destination"], "left").withColumn("t", F.coalesce("flow", F.lit(0)).cast("long")).drop("flow")

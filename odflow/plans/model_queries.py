@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.choice import leaky_relu as leaky
 from ..functions.choice import log_softmax as log_sm
 from ..functions.choice import softmax
-from ..models import linear, mlp, store
+from ..models import linear, mlp, store, training
 from ..operators import evaluation as ev
 from ..operators import flows as flow_ops
 from ..operators import pairs as pair_ops
@@ -254,6 +254,16 @@ def train_mlp_step(spark, d):
     return spark.createDataFrame([(k, round(loss, 3), round(float(np.abs(w).sum()), 3)) for k, (w, _) in enumerate(grads)], "layer int, loss double, size double")
 
 
+@query()
+def train_mlp(spark, d):
+    """Losses of four epochs of a small net, 16 origins a step, four workers."""
+    path = _work(spark, "pairs")
+    b.pairs(spark, d).select("origin", "destination", "t", F.array(*_small_inputs()).alias("x")).write.parquet(path)
+    start = training.State.fresh(mlp.initial_layers([3, 8, 1]))
+    _, losses = training.train(lambda epoch: spark.read.parquet(path), start, 4, batch_size=16, lr=0.01, workers=4)
+    return spark.createDataFrame([(k + 1, round(v, 4)) for k, v in enumerate(losses)], "epoch int, loss double")
+
+
 @query()
 def model_roundtrip(spark, d):
     path = _work(spark, "model")

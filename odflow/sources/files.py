@@ -26,9 +26,9 @@ def check_dataset(spark: SparkSession, folder: str) -> None:
         raise ValueError(f"there is no dataset in {folder}")
 
 
-def check_base_files(spark: SparkSession, folder: str) -> None:
+def check_base_files(spark: SparkSession, folder: str, needed: tuple[str, ...] = ("tessellation", "output_areas")) -> None:
     """A tessellation, output areas (each as .shp or .geojson) and flows.csv."""
-    for name in ("tessellation", "output_areas"):
+    for name in needed:
         if not any(exists(spark, f"{folder}/{name}.{kind}") for kind in ("shp", "geojson")):
             raise ValueError(f"{folder} needs {name}.shp or {name}.geojson")
     if not exists(spark, f"{folder}/flows.csv"):

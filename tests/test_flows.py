@@ -1,5 +1,6 @@
 """The flow engine: a hand-made tile, properties, pandas and NumPy oracles, files, and DuckDB for every query with SQL."""
 
+import dataclasses
 import json
 import math
 import os
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from odflow import cli
 from odflow.catalog import QUERIES, SQL
 from odflow.functions import geo
-from odflow.models import linear, mlp, store
+from odflow.models import linear, mlp, store, training
 from odflow.operators import evaluation, flows, pairs, report, spatial
 from odflow.sources import files, osm
 from odflow.streaming import transitions, windowed_flows
@@ -80,6 +81,47 @@ def test_net(spark, tile, tmp_path):
         mlp.create("linear", 2, dropout=1.0)
 
 
+def test_training_over_origins(spark):
+    """One worker gives the sequential run, several average; a lone origin, an origin over several Arrow batches, an empty table."""
+    rng = np.random.default_rng(3)
+    rows = [(f"o{o}", f"d{k:05d}", int(rng.poisson(3)), rng.normal(size=2).tolist()) for o in range(7) for k in range(1 if o == 2 else 5 + o)]
+    made = spark.createDataFrame(rows, "origin string, destination string, t long, x array<double>")
+    layers = mlp.initial_layers([2, 6, 3, 1])
+    state, want, optimizer, losses = training.State.fresh(layers), mlp.flat(layers), linear.RmsProp(len(mlp.flat(layers)), 0.01, 0.9), []
+    for _ in range(2):
+        for at in range(0, 7, 3):
+            got = [mlp.loss_of_origin(np.array([r[3] for r in rows if r[0] == f"o{o}"]), np.array([r[2] for r in rows if r[0] == f"o{o}"], float), mlp.shaped(want, layers)) for o in range(at, min(7, at + 3))]
+            losses += [g[0] for g in got]
+            want = optimizer.step(want, sum(g[1] for g in got))
+    for epoch in (1, 2):
+        loss, state = training.train_epoch(made, state, batch_size=3, lr=0.01, epoch=epoch, workers=1)
+        assert loss == pytest.approx(np.mean(losses[7 * (epoch - 1) : 7 * epoch]))
+    # the last bias shifts all scores alike: its gradient is rounding, which the optimizer scales up
+    assert mlp.flat(state.layers) == pytest.approx(want) and state.square == pytest.approx(optimizer.square) and state.speed[:-1] == pytest.approx(optimizer.speed[:-1])
+    _, losses = training.train(lambda epoch: made, training.State.fresh(layers), 6, batch_size=2, lr=0.01, workers=3)
+    assert losses[-1] < losses[0]
+    assert training.train_epoch(made.limit(0), state)[0] == 0 and training.train_epoch(made.limit(0), state)[1] is state
+    with pytest.raises(ValueError):
+        training.train_epoch(made, state, batch_size=0)
+
+
+def test_origins_and_dropout(spark):
+    pdf = pd.DataFrame({"origin": list("aabbbc"), "x": [np.array([k, 1.0]) for k in range(6)], "t": range(6)})
+    for step in (1, 2, 4, 6):
+        got = list(mlp.by_origin(iter([pdf[k : k + step] for k in range(0, 6, step)] + [pdf[:0]])))
+        assert [t.tolist() for _, t in got] == [[0, 1], [2, 3, 4], [5]] and got[1][0][:, 0].tolist() == [2, 3, 4]
+    layers, x, t = mlp.initial_layers([2, 20, 10, 1]), np.random.default_rng(1).normal(size=(6, 2)), np.arange(6.0)
+    value = lambda v: mlp.loss_of_origin(x, t, mlp.shaped(v, layers), 0.35, np.random.default_rng(9))
+    flat = mlp.flat(layers)
+    _, g = value(flat)
+    for k in (0, 30, 70, len(flat) - 2):
+        h = np.eye(1, len(flat), k)[0] * 1e-6
+        assert (value(flat + h)[0] - value(flat - h)[0]) / 2e-6 == pytest.approx(g[k], rel=1e-4, abs=1e-6)
+    blocks = mlp.as_blocks(3, 1.5, np.arange(mlp.BLOCK + 5.0))
+    n, loss, total = mlp.added_up(spark.createDataFrame(pd.concat([blocks, blocks]), mlp.PARTS))
+    assert (n, loss) == (6, 3.0) and np.array_equal(total, 2 * np.arange(mlp.BLOCK + 5.0))
+
+
 def test_deciles_are_those_of_pandas(spark):
     rng = np.random.default_rng(0)
     for n in (10, 11, 37, 193):
@@ -160,14 +202,38 @@ def test_command_line(spark, tmp_path):
     (d / "tessellation.geojson").write_text(collection("tile_ID", [("007", square(0, 0, 10)), ("1", square(10, 0, 10))]))
     (d / "output_areas.geojson").write_text(collection("oa_ID", [(f"a{k}", square(1 + 2 * k, 3, 1)) for k in range(9)]))
     (d / "flows.csv").write_text("origin,destination,flow\n" + "".join(f"a{k},a{(k * 3 + 1) % 9},{k + 1}\n" for k in range(9)))
-    cli.main(["--dataset", "demo", "--data-dir", str(tmp_path), "--epochs", "2", "--lr", "0.001"])
-    got = files.read_csv(spark, files.result_path(str(d), "G", "demo", 0), "tile string, cpc double").collect()
-    assert {r.tile for r in got} == {"007", "1"} and all(0 <= r.cpc <= 1 for r in got)
+    for model in ("G", "DG"):  # the deep model is the default
+        cli.main(["--dataset", "demo", "--data-dir", str(tmp_path), "--epochs", "2", "--lr", "0.001", *(["--model", model] if model != "DG" else [])])
+        got = files.read_csv(spark, files.result_path(str(d), model, "demo", 0), "tile string, cpc double").collect()
+        assert {r.tile for r in got} == {"007", "1"} and all(0 <= r.cpc <= 1 for r in got)
+    assert [len(store.load(spark, str(d / "results" / f"model_{m}_demo"))[0]) for m in ("G", "DG")] == [1, 16]
     assert files.is_cached(spark, str(d))
     with pytest.raises(ValueError):
         files.check_dataset(spark, str(tmp_path / "absent"))
 
 
+def test_command_line_over_a_box_with_features_and_samples(spark, tmp_path):
+    """Squares instead of a tessellation file, features of clashing names with gaps, tiles of more locations than are drawn."""
+    d = tmp_path / "box"
+    d.mkdir()
+    square = lambda x, y: [[[x, y], [x + 0.1, y], [x + 0.1, y + 0.1], [x, y + 0.1], [x, y]]]
+    shapes = [{"type": "Feature", "properties": {"oa_ID": f"a{k}"}, "geometry": {"type": "Polygon", "coordinates": square(0.2 + 0.3 * k, 0.4)}} for k in range(8)]
+    (d / "output_areas.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": shapes}))
+    (d / "flows.csv").write_text("origin,destination,flow\n" + "".join(f"a{k},a{(k + 1) % 8},{k + 1}\n" for k in range(8)))
+    (d / "features.csv").write_text("oa_ID,lat,pop\n" + "".join(f"a{k},{k}.5,{'' if k == 3 else k}\n" for k in range(7)))
+    run = ["--dataset", "box", "--data-dir", str(tmp_path), "--epochs", "1", "--model", "MFG", "--batch_size", "4", "--workers", "2"]
+    with pytest.raises(ValueError):
+        cli.main(run)
+    run += ["--tessellation-area", "0,0,4,2", "--tessellation-size", "150000"]
+    cli.main(run)
+    got = files.read_csv(spark, files.result_path(str(d), "MFG", "box", 0), "tile string, cpc double").collect()
+    assert {r.tile for r in got} == {"0", "1"}
+    config, folder = cli.parse(run)
+    state = cli.train_model(spark, dataclasses.replace(config, dim_dests=2, epochs=2), folder)
+    assert state.layers[0][0].shape == (1, 7)
+    assert spark.read.parquet(f"{folder}/processed/train_pairs_MFG").groupBy("origin").count().where("count <> 2").count() == 0
+
+
 @needs_tables
 def test_stream(spark):
     schema = spark.read.parquet(f"{SF}/events.parquet").schema
