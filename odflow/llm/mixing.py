@@ -4,6 +4,8 @@ Documents fall into cells (source, language, topic). Only cells with a named tar
 category or the rest of a dimension exist, so their number is a product of the
 parameters' sizes, whatever the corpus; the token sums of cells are all that the
 driver sees. Cell weights are scaled to one marginal after the other until all hold.
+Probabilities come from the same fitting with no cell above 1, for the largest share
+of the tokens for which it still meets all marginals: so as few documents as can be go.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import types as T
 
 REST = "*"  # the category of all values without a target of their own
 TOPICS = 8
+FAR = 1e12  # a weight above it is no solution
 
 
 def measure(text: str | None) -> tuple[int, str]:
@@ -48,42 +51,103 @@ def _measured(rows: DataFrame, text_col: str) -> DataFrame:
     return made.mapInArrow(run, schema)
 
 
-def rake(observed: np.ndarray, targets: list[np.ndarray], rounds: int = 500, tolerance: float = 1e-10) -> np.ndarray:
-    """observed scaled so that its sum over all axes but k is proportional to targets[k], for each k.
+def goals(observed: np.ndarray, targets: list[np.ndarray]) -> list[np.ndarray]:
+    """Token shares of each axis' categories; targets of categories that nothing was observed in are shared among the others."""
+    out, total = [], observed.sum()
+    for k, t in enumerate(targets):
+        have = observed.sum(axis=_others(observed, k))
+        g = np.where(have > 0, t, 0.0)
+        out.append(g / g.sum() if g.sum() else have / total)
+    return out
 
-    Targets of categories that nothing was observed in are shared among the others.
-    """
+
+def _others(x: np.ndarray, k: int) -> tuple[int, ...]:
+    return tuple(j for j in range(x.ndim) if j != k)
+
+
+def rake(observed: np.ndarray, targets: list[np.ndarray], rounds: int = 500, tolerance: float = 1e-10) -> np.ndarray:
+    """observed scaled so that its sum over all axes but k is proportional to targets[k], for each k."""
     fitted = observed.astype(np.float64).copy()
     total = fitted.sum()
     if not total:
         return fitted
-    axes = [tuple(j for j in range(fitted.ndim) if j != k) for k in range(fitted.ndim)]
-    goals = []
-    for k, t in enumerate(targets):
-        g = np.where(fitted.sum(axis=axes[k]) > 0, t, 0.0)
-        goals.append(g / g.sum() * total if g.sum() else fitted.sum(axis=axes[k]))
+    wanted = [g * total for g in goals(fitted, targets)]
     for _ in range(rounds):
         worst = 0.0
-        for k, goal in enumerate(goals):
-            have = fitted.sum(axis=axes[k])
+        for k, goal in enumerate(wanted):
+            have = fitted.sum(axis=_others(fitted, k))
             scale = np.divide(goal, have, out=np.zeros_like(goal), where=have > 0)
             worst = max(worst, float(np.abs(scale[goal > 0] - 1).max(initial=0)))
-            fitted *= np.expand_dims(scale, axes[k])
+            fitted *= np.expand_dims(scale, _others(fitted, k))
         if worst < tolerance:
             break
     return fitted
 
 
+def _factor(weight: np.ndarray, tokens: np.ndarray, goal: float) -> float:
+    """s with the sum of tokens * min(1, s * weight) equal to goal; without one, the s that takes all."""
+    order = np.argsort(-weight)
+    w, t = weight[order], tokens[order]
+    rest = np.cumsum((w * t)[::-1])[::-1]  # of the cells from here on
+    full = np.r_[0.0, np.cumsum(t)[:-1]]  # of the cells before, all taken
+    s = (goal - full) / rest
+    fits = np.flatnonzero(s * w <= 1)
+    return float(s[fits[0]]) if len(fits) else float(1 / w[-1])
+
+
+def probabilities(observed: np.ndarray, targets: list[np.ndarray], rounds: int = 300, tolerance: float = 1e-6) -> np.ndarray:
+    """Sampling probability of each cell: with it the expected tokens meet the targets, and as many are kept as can be.
+
+    Bounded raking (Deville and Saerndal, 1992) at a kept share that is found by
+    halving; raked weights over their largest are the start, which is always within
+    bounds. Cells without tokens get 1.
+    """
+    observed = observed.astype(np.float64)
+    fitted = rake(observed, targets)
+    weight = np.divide(fitted, observed, out=np.zeros_like(fitted), where=observed > 0)
+    if not weight.max(initial=0):
+        return np.ones_like(observed)
+    shares, total = goals(observed, targets), observed.sum()
+
+    def bounded(kept: float) -> np.ndarray | None:
+        w = weight.copy()
+        if any((share * kept * total > observed.sum(axis=_others(observed, k)) * (1 + tolerance)).any() for k, share in enumerate(shares)):
+            return None
+        for _ in range(rounds):
+            worst = 0.0
+            if w.max() > FAR:  # factors run away where the share can't be met
+                return None
+            for k, share in enumerate(shares):
+                by, tokens = np.moveaxis(w, k, 0), np.moveaxis(observed, k, 0)
+                for c, goal in enumerate(share * kept * total):
+                    used = by[c] * tokens[c] > 0
+                    if used.any():
+                        worst = max(worst, abs((np.minimum(by[c], 1) * tokens[c]).sum() / goal - 1))
+                        by[c] *= _factor(by[c][used], tokens[c][used], goal)
+            if worst < tolerance:
+                return np.minimum(w, 1)
+        return None
+
+    low, high = float(fitted.sum() / weight.max() / total), 1.0
+    best = weight / weight.max()
+    for _ in range(10):
+        middle = (low + high) / 2
+        made = bounded(middle)
+        low, high, best = (middle, high, made) if made is not None else (low, middle, best)
+    return np.where(observed > 0, best, 1.0)
+
+
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]], text_col: str = "text", id_col: str = "doc_id", *, seed: int = 17) -> DataFrame:
     """docs with column _mix: struct of tokens, topic, weight, probability, sampled.
 
     targets names for each dimension (a column of docs, or "topic", measured from
     the text) the token shares of its categories; the category "*" is the rest, null
-    values among it, with what is left of 1 unless it is named. weight is the cell's fitted over observed tokens, probability
-    is weight over the largest weight, and a document is sampled if the hash of its
-    id and text, as a number from 0 to 1, is below it. So repeated rows are sampled
-    alike. Documents without a token weigh nothing in the fit and keep their cell's
-    weight, or 1 where the cell has no tokens. All columns of docs stay.
+    values among it, with what is left of 1 unless it is named. weight is the cell's
+    fitted over observed tokens; by probability the expected tokens meet the targets
+    with as many documents as can be, and a document is sampled if the hash of its id
+    and text, as a number from 0 to 1, is below it. So repeated rows are sampled
+    alike. Documents without a token weigh nothing in the fit and have their cell's
+    weight and probability, or 1 where the cell has no tokens. All columns of docs stay.
     """
     dims = list(targets)
     if not dims or any(not t for t in targets.values()):
@@ -101,10 +165,11 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]], text_col: str = "
     observed = np.zeros([len(c) for c in categories])
     for r in sums:
         observed[tuple(c.index(r[k]) for c, k in zip(categories, keys, strict=True))] = r.tokens
-    fitted = rake(observed, [np.array([t.get(n, max(0.0, 1 - sum(t.values())) if n == REST else 0.0) for n in c]) for t, c in zip(targets.values(), categories, strict=True)])
+    wanted = [np.array([t.get(n, max(0.0, 1 - sum(t.values())) if n == REST else 0.0) for n in c]) for t, c in zip(targets.values(), categories, strict=True)]
+    fitted = rake(observed, wanted)
     weight = np.divide(fitted, observed, out=np.ones_like(fitted), where=observed > 0)
-    top = max(float(weight[observed > 0].max(initial=0)), 0) or 1.0
-    table = [(*names, float(weight[i]), min(1.0, float(weight[i] / top))) for names, i in zip(product(*categories), np.ndindex(*observed.shape), strict=True)]
+    chance = probabilities(observed, wanted)
+    table = [(*names, float(weight[i]), float(chance[i])) for names, i in zip(product(*categories), np.ndindex(*observed.shape), strict=True)]
     spark = docs.sparkSession
     factors = spark.createDataFrame(table, ", ".join([f"{k} string" for k in keys] + ["_weight double", "_probability double"]))
     drawn = F.shiftrightunsigned(F.xxhash64(F.col("_row")[id_col].cast("string"), F.col("_row")[text_col].cast("string"), F.lit(seed)), 11) / F.lit(float(1 << 53))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from odflow.llm import context_mixing, privacy, simhash, warc
 from odflow.llm.components import components
-from odflow.llm.mixing import measure, mix, rake
+from odflow.llm.mixing import measure, mix, probabilities, rake
 from odflow.llm.packing import PieceIds, default_tokenizer, pack, padded_length
 from odflow.llm.quality_classifier import FactorisationMachine, fit, score_quality
 from odflow.llm.quality_rules import quality_rules
@@ -349,6 +349,28 @@ def test_rake():
     assert rake(np.zeros((2, 2)), [np.ones(2) / 2] * 2).sum() == 0
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_probabilities_meet_the_targets_and_keep_most(seed):
+    rng = np.random.default_rng(seed)
+    seen = rng.integers(seed % 2, 50, (2, 3, 4)).astype(float) * (rng.random((2, 3, 4)) < 0.7 if seed % 3 == 0 else 1)
+    wanted = [x / x.sum() for x in (rng.uniform(0.05, 1, n) for n in (2, 3, 4))]
+    p = probabilities(seen, wanted)
+    assert ((p >= 0) & (p <= 1)).all() and (p[seen == 0] == 1).all()
+    fitted = rake(seen, wanted)
+    top = np.divide(fitted, seen, out=np.zeros_like(seen), where=seen > 0).max()
+    kept = (p * seen).sum()
+    assert not top or kept >= fitted.sum() / top * (1 - 1e-6)  # never fewer tokens than by weights over the largest
+    if seen.all():
+        for k, w in enumerate(wanted):
+            assert (p * seen).sum(axis=tuple(j for j in range(3) if j != k)) / kept == pytest.approx(w, rel=1e-4)
+
+
+def test_probabilities_of_one_dimension():
+    # a third of the first, all of the second: 30 + 30 of 120 tokens are the most that is half and half
+    assert probabilities(np.array([90.0, 30.0]), [np.array([0.5, 0.5])]) == pytest.approx([1 / 3, 1], rel=2e-3)
+    assert probabilities(np.array([5.0, 0.0]), [np.array([0.5, 0.5])]) == pytest.approx([1, 1], rel=2e-3)
+
+
 def test_mix(docs, texts, spark):
     targets = {"source": {"s0": 0.3}, "topic": {f"t{k}": 0.125 for k in range(8)}}
     got = mix(docs, targets).collect()
