@@ -1,9 +1,13 @@
 """The corpus pipeline, stage by stage and as a whole, and its absence."""
 
 import os
+import re
 import subprocess
 import sys
+import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -28,6 +32,86 @@ def test_stages(spark):
     assert sorted(map(tuple, packed.select("doc_id", "start", "ids_crc32").collect())) == sorted(map(tuple, ran.select("doc_id", "start", "ids_crc32").collect()))
 
 
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def slow_rules(rows):
+    """Rows that the rules keep, their texts without frequent lines."""
+    norm = lambda x: " ".join(WORD.findall(x.lower()))
+    texts = {}
+    for r in rows:
+        texts.setdefault(r["source"], set()).add(r["text"] or "")
+    seen = {s: Counter(h for t in ts for h in {norm(x) for x in t.split("\n")} if h) for s, ts in texts.items()}
+    out = []
+    for r in rows:
+        text, n = r["text"] or "", len(WORD.findall(r["text"] or ""))
+        words = WORD.findall(text)
+        windows = [tuple(words[i : i + 8]) for i in range(n - 7)]
+        count = Counter(windows)
+        repeated = len({i + k for i, w in enumerate(windows) if count[w] > 1 for k in range(8)})
+        often = lambda x: norm(x) and seen[r["source"]][norm(x)] > max(10, 0.01 * len(texts[r["source"]]))  # noqa: E731, B023
+        left = [x for x in text.split("\n") if not often(x)]
+        kept_words = sum(len(WORD.findall(x)) for x in left)
+        if n >= 20 and 100 * repeated <= 30 * n and (len(left) == len(text.split("\n")) or kept_words >= 0.3 * n):
+            out.append((r["doc_id"], "\n".join(left)))
+    return sorted(out)
+
+
+def slow_dedup(rows):
+    """Ids that stay: the smallest of each component of fingerprints of five-word shingles."""
+    import xxhash
+
+    prints = {}
+    for r in rows:
+        words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r["text"] or ""))
+        shingles = [" ".join(words[i : i + 5]) for i in range(len(words) - 4)] or [" ".join(words)] * bool(words)
+        h = np.array([xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles], np.uint64)
+        prints[r["doc_id"]] = sum(1 << b for b in range(64) if 2 * int((h >> np.uint64(b) & np.uint64(1)).sum()) > len(h)) if words else 0
+    left, keep = sorted(prints), []
+    while left:
+        edge, left = [left[0]], left[1:]
+        keep.append(edge[0])
+        while edge:
+            x = prints[edge.pop()]
+            near = [i for i in left if (prints[i] ^ x).bit_count() <= 4]
+            edge, left = edge + near, [i for i in left if i not in set(near)]
+    return keep
+
+
+def slow_ids(rows):
+    """Token ids by document, from the tokenizer itself."""
+    from tokenizers import Tokenizer
+
+    from odflow.llm.packing import default_tokenizer
+
+    tokenizer = Tokenizer.from_file(default_tokenizer())
+    return {r["doc_id"]: tokenizer.encode(r["text"] or "", add_special_tokens=False).ids + [2] for r in rows}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_stages_against_brute_force(spark):
+    """Rules, near-duplicates and packing as a whole; the pseudonyms and the mixture by what they must leave alone."""
+    from odflow.llm.common import cut, table
+
+    stages, docs = dict(corpus_pipeline.STAGES), table(spark, SF, "documents")
+    rows = lambda d: [r.asDict() for r in d.collect()]
+    ruled = cut(stages["quality_rules"](spark, docs, SF), "t")
+    assert sorted((r["doc_id"], r["text"]) for r in rows(ruled)) == slow_rules(rows(docs))
+    alone = cut(stages["simhash_near_dedup"](spark, ruled, SF), "t")
+    assert sorted(r["doc_id"] for r in rows(alone)) == slow_dedup(rows(ruled))
+    private = cut(stages["private_pseudonyms"](spark, alone, SF), "t")
+    before, after = ({r["doc_id"]: r["text"] for r in rows(d)} for d in (alone, private))
+    assert before.keys() == after.keys() and all(before[i] == t for i, t in after.items() if not re.search("[0-9@=:]|AKIA", before[i]))
+    mixed = cut(stages["source_mixing"](spark, private, SF), "t")
+    assert all(after[r["doc_id"]] == r["text"] for r in rows(mixed))
+    ids, taken = slow_ids(rows(mixed)), []
+    for r in rows(stages["packing"](spark, mixed, SF)):
+        own = ids[r["doc_id"]]
+        assert r["doc_tokens"] == len(own) and zlib.crc32(np.array(own[r["start"] : r["start"] + r["length"]], "<u4").tobytes()) == r["ids_crc32"]
+        taken += range(r["sequence_id"] * 4096 + r["offset"], r["sequence_id"] * 4096 + r["offset"] + r["length"])
+    assert sorted(taken) == list(range(sum(map(len, ids.values()))))
+
+
 def test_nothing_else_imports_it():
     code = "import sys; sys.modules['odflow.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert 'tile_cpc' in q and not any(k.startswith('op') and k[2].isdigit() for k in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=REPO, check=True, env=os.environ | {"PYTHONPATH": REPO})
