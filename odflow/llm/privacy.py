@@ -20,13 +20,28 @@ DATE_SIDE = 270  # dates are pairs of numbers below it: 72,900 days from 1900-01
 KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card", "secret")
 
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-_IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
+#: Lengths of IBANs by country.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_OF_COUNTRY = "|".join(f"(?:{c.replace(' ', '|')})\\d{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + f" ?[A-Z0-9]{{{n % 4}}}" * (n % 4 > 0) for n, c in _IBAN_LENGTHS.items())
+_IBAN = rf"\b(?=[A-Z]{{2}}\d{{2}})(?:(?:{_OF_COUNTRY})\b|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?\b)"
 _IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 _DATE = r"(?<![\d/.-])(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})(?![-/]?\d)"
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-_PHONE = r"(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\+(?!1\b)\d{2,3}(?:[ .-]?\d{2,4}){2,4}(?!\.?\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-]?\d)"
+_PHONE = "|".join((
+    r"(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
+    r"(?<![\w+])\+(?!1\b)\d{2,3}[ .-]?(?:\(0\)[ .-]?)?\d{1,2}(?:[ .-]\d{2}){4}(?!\.?\d)",  # groups of two, as in France
+    r"(?<![\w+])\+(?!1\b)\d{2,3}[ .-]\d(?:[ .-]\d{2,4}){2,3}(?!\.?\d)",
+    r"(?<![\w+])\+(?!1\b)\d{2,3}(?:[ .-]?\d{2,4}){2,4}(?!\.?\d)",
+    r"(?<![\w.+-])0[1-9](?:[ .-]\d{2}){4}(?![.-]?\d)",
+    r"(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)",
+    r"(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-]?\d)",
+))
 _CARD = r"(?<!\d)(?:\d{13,19}|\d{4}(?: \d{4}){3}(?: \d{3})?|\d{4}(?:-\d{4}){3}(?:-\d{3})?|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)"
-_SECRET = r"\bAKIA[A-Z0-9]{16}\b|(?i:\b(?:password|passwd|pwd|secret|api_?key|token)[=:])[^\s\"']+|\b[0-9a-f]{40}\b"
+_SET = r"[\"']?[ \t]{0,2}[=:][ \t]{0,2}[\"']?"
+_SECRET = rf"\bAKIA[A-Z0-9]{{16}}\b|(?i:\b(?:password|passwd|pwd|secret|api[_-]?key|token){_SET})[^\s\"']+|\b[0-9A-Fa-f]{{40}}\b"
 _CANDIDATE = "|".join((_EMAIL, _SECRET, _IBAN, _IP, _DATE, _SSN, _PHONE, _CARD))
 
 
@@ -100,8 +115,8 @@ def card(value: Column, key: str) -> Column:
 
 
 def phone(value: Column, key: str) -> Column:
-    """The country code stays; the national number is permuted by its digits alone, so formats don't part equal numbers."""
-    code = F.regexp_extract(value, r"^\+1(?=\D|\d{10}$)|^\+\d{1,3}(?=[ .(-])|^\+", 0)
+    """The country code and a leading zero in its place stay; the national number is permuted by its digits alone, so formats don't part equal numbers."""
+    code = F.regexp_extract(value, r"^0(?=\d[ .-])|^\+\d{2,3}[ .-]?\(0\)|^\+1(?=\D|\d{10}$)|^\+\d{1,3}(?=[ .(-])|^\+", 0)
     rest = F.substr(value, F.length(code) + 1)
     return let(_only_digits(rest), lambda d: F.when(F.length(d).between(7, 14), let(permute_digits(d, key, "phone"), lambda p: F.concat(code, _put(rest, p)))).otherwise(value))
 
@@ -168,12 +183,14 @@ def email(value: Column, key: str) -> Column:
 
 
 def secret(value: Column, key: str) -> Column:
-    """Of the same alphabet and length (up to 64); the name before = or : stays."""
-    name = F.regexp_extract(value, "^[A-Za-z_]+[=:]", 0)
+    """Of the same alphabet and length (up to 64); the name, = or : and the quote before it stay. Hex digits are one value in either case."""
+    name = F.regexp_extract(value, f"^[A-Za-z_-]+{_SET}", 0)
     bare = F.substr(value, F.length(name) + 1)
-    h = _digest(key, F.lit("secret"), bare)
+    hexes = bare.rlike("^[0-9A-Fa-f]{40}$")
+    h = _digest(key, F.lit("secret"), F.when(hexes, F.lower(bare)).otherwise(bare))
     access = F.concat(F.lit("AKIA"), F.translate(F.substring(h, 1, 16), "0123456789abcdef", "ABCDEFGHIJ234567"))
-    return F.when(value.rlike("^AKIA[A-Z0-9]{16}$"), access).otherwise(F.concat(name, F.substr(h, F.lit(1), F.length(bare))))
+    made = F.substr(F.when(hexes & (bare == F.upper(bare)) & bare.rlike("[A-F]"), F.upper(h)).otherwise(h), F.lit(1), F.length(bare))
+    return F.when(value.rlike("^AKIA[A-Z0-9]{16}$"), access).otherwise(F.concat(name, made))
 
 
 def _kind(value: Column) -> Column:
