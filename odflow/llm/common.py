@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import tempfile
 import types
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,19 +21,36 @@ SPACE_RE = "[\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a folder of its own, a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="odflow-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage ends here, lost executors lose nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Write df once to the shared folder and read it back: lineage ends here, lost executors lose nothing. The table goes as the session ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    until_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def until_exit(spark: SparkSession, path: str) -> None:
+    """path, which exists, is deleted when the driver's JVM ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
+def refuse(df: DataFrame, *added: str) -> None:
+    """ValueError if df has a column of a name that an operator adds; names differ by more than case."""
+    clash = {c.lower() for c in df.columns} & {c.lower() for c in added}
+    if clash:
+        raise ValueError(f"the table has columns of names that are added: {sorted(clash)}")
 
 
 def let(value: Column, body) -> Column:
@@ -39,13 +59,21 @@ def let(value: Column, body) -> Column:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's size of df, for a choice of partition counts; never for a choice of rows."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes of what df is made from, for a choice of partition counts; never for a choice of rows.
 
+    The files' size where Spark knows it, else the length of df's texts, counted.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    known = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    if known < 1 << 60:
+        return known
+    texts = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    return int(df.agg(F.sum(sum(texts, F.lit(8).cast("long")))).first()[0] or 0)
 
-def buckets_for(df: DataFrame, bytes_each: int, least: int = 32, most: int = 65536) -> int:
+
+def buckets_for(df: DataFrame, bytes_each: int, least: int = 32) -> int:
     """How many buckets of about bytes_each the input makes."""
-    return max(least, min(most, -(-input_bytes(df) // bytes_each)))
+    return max(least, -(-input_bytes(df) // bytes_each))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,3 +86,12 @@ def once_a_worker(name: str, make: Callable):
     if name not in kept:
         kept[name] = make()
     return kept[name]
+
+
+def tidy() -> None:
+    """Give memory that a task no longer needs back to the system, for workers outlive tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)

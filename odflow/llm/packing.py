@@ -20,9 +20,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, once_a_worker
+from .common import cut, once_a_worker, tidy
 
-CACHE = 400_000
+CACHE = 150_000
 #: Separators that Python takes for white space and the tokenizer's \s does not.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: The tokenizer's pieces of a lower-cased text without characters over U+00FF.
@@ -113,6 +113,7 @@ def _tokenise(path: str, end_id: int):
                 blobs = [np.frombuffer(x, "<u4") for x in ids]  # two bytes an id where that is enough
                 blobs = [x.astype("<u2").tobytes() if x.max() < 65536 else x.tobytes() for x in blobs]
                 yield pa.record_batch([some.column(0), pa.array([part] * len(ids), pa.int32()), pa.array(starts), pa.array(sizes), pa.array(blobs, pa.binary())], names=["doc_id", "part", "at", "tokens", "ids"])
+        tidy()
 
     return run
 

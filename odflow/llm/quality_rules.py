@@ -1,7 +1,8 @@
 """Quality rules on words and lines, and removal of lines that many documents of a host share.
 
-All of it is DataFrame expressions. Line hashes are counted once a distinct text,
-so exact copies of a document are no evidence against its lines.
+All of it is DataFrame expressions. A document counts once however often its text is
+repeated: exact copies are no evidence against its lines, or every document with more
+copies than the limit would lose all its lines in all its copies.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_RE, let
+from .common import SPACE, SPACE_RE, cut, let, refuse
 
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
@@ -65,39 +66,61 @@ def _lines(text: Column) -> Column:
     return F.filter(each, lambda x: x["words"] > 0)
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", *, max_share: float = 0.01, max_docs: int = 10, min_kept: float = 0.3, with_text: bool = True) -> DataFrame:
-    """The rows of docs with two more columns, _rules (struct) and _cleaned (text without the removed lines).
+def _bloom(keys: DataFrame, bits: int) -> DataFrame:
+    """A Bloom filter with one bit a key: rows (page, bitmap) of 32,768 bits each, at most bits / 32,768 of them."""
+    at = F.pmod("k1", F.lit(bits))
+    return keys.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
+
+
+def _in_bloom(bits: int) -> Column:
+    """Whether the bit of k1 is set in the page's bitmap, which is null where no bit of it is."""
+    place = F.bitmap_bit_position(F.pmod("k1", F.lit(bits)))
+    byte = F.conv(F.hex(F.substr("bitmap", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.call_function("shiftright", byte, F.pmod(place, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+
 
-    Without with_text, the texts and _cleaned are left out and no text is shuffled.
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", *, max_docs: int = 10, min_kept: float = 0.3, bloom_bits: int = 1 << 26) -> DataFrame:
+    """The rows of docs with two more columns, _rules (struct) and _cleaned (text without the removed lines).
 
     _rules has n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, n_removed_lines, kept_words and kept. A line is removed if it is in
-    more than max_docs distinct texts of its host and in more than max_share of the
-    host's distinct texts. A document is kept if the base rules pass and, where lines
-    went, at least the share min_kept of its words is left.
+    base_failed, n_removed_lines, kept_words and kept. A line is removed if more than
+    max_docs distinct documents of its host have it; documents of equal text are one.
+    A document is kept if the base rules pass and, where lines went, at least the
+    share min_kept of its words is left.
     Null texts count as empty, a null host is the host "". Repeated rows get the
-    same verdict. The columns of docs stay as they are, whatever their names but
-    those two.
+    same verdict, an empty table gives an empty one. The columns of docs stay as
+    they are; of the names _rules and _cleaned there must be none (ValueError).
+
+    Only texts that lose a line are shuffled: a Bloom filter of bloom_bits bits, 8 MB,
+    tells the others apart, whose verdict is their own. When it fills up, more texts
+    are shuffled; results don't change.
     """
+    refuse(docs, "_rules", "_cleaned")
     text, host = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.coalesce(F.col(host_col).cast("string"), F.lit(""))
     key = [F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2"), host.alias("host")]
     lines = docs.select(*key, F.explode(F.array_distinct(F.transform(_lines(text), lambda x: x["h"]))).alias("h")).distinct()
-    texts = docs.select(*key).distinct()
-    sizes = texts.groupBy("host").agg(F.count("*").alias("n_texts"))
-    counts = lines.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > max_docs)
-    frequent = counts.join(sizes, "host").where(F.col("n") > max_share * F.col("n_texts")).select("host", "h")
-    removed = lines.join(frequent, ["host", "h"]).groupBy("k1", "k2", "host").agg(F.collect_set("h").alias("_frequent"))
-    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if with_text or c != text_col]).alias("_row"), *key, text_rules(text).alias("_base"), _lines(text).alias("_lines"))
-    joined = wide.join(removed, ["k1", "k2", "host"], "left")
+    frequent = cut(lines.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > max_docs).select("host", "h"), "frequent")
+    removed = cut(lines.join(frequent, ["host", "h"], "left_semi").groupBy("k1", "k2", "host").agg(F.collect_set("h").alias("_frequent")), "removed")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    keyed = docs.select(row, *key).withColumn("page", F.bitmap_bucket_number(F.pmod("k1", F.lit(bloom_bits))))
+    marked = keyed.join(F.broadcast(_bloom(removed, bloom_bits)), "page", "left")
+    maybe = _in_bloom(bloom_bits)
+    touched = marked.where(maybe).select("_row", "k1", "k2", "host").join(removed, ["k1", "k2", "host"], "left").select("_row", "_frequent")
+    alone = marked.where(~maybe).select("_row", F.lit(None).cast("array<long>").alias("_frequent"))
+    return _judged(alone, text_col, min_kept).unionByName(_judged(touched, text_col, min_kept))
+
+
+def _judged(rows: DataFrame, text_col: str, min_kept: float) -> DataFrame:
+    """Rules, verdict and cleaned text of rows (_row, _frequent: the hashes of the lines to remove, or null)."""
+    own = F.col("_row")[text_col].cast("string")
+    text = F.coalesce(own, F.lit(""))
     gone = lambda h: F.coalesce(F.array_contains("_frequent", h), F.lit(False))
+    rows = rows.select("*", text_rules(text).alias("_base"), F.when(F.col("_frequent").isNotNull(), _lines(text)).alias("_lines"))
     left = F.aggregate(F.filter("_lines", lambda x: ~gone(x["h"])), F.lit(0).cast("long"), lambda a, x: a + x["words"])
-    joined = joined.withColumn("_left", F.when(F.col("_frequent").isNull(), F.col("_base.n_words")).otherwise(left))
-    joined = joined.withColumn("_gone", F.when(F.col("_frequent").isNull(), F.lit(0)).otherwise(F.size(F.filter("_lines", lambda x: gone(x["h"])))).cast("long"))
+    rows = rows.withColumn("_left", F.when(F.col("_frequent").isNull(), F.col("_base.n_words")).otherwise(left))
+    rows = rows.withColumn("_gone", F.when(F.col("_frequent").isNull(), F.lit(0)).otherwise(F.size(F.filter("_lines", lambda x: gone(x["h"])))).cast("long"))
     base_failed = (F.col("_base.n_words") < MIN_WORDS) | (100 * F.col("_base.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_base.n_words"))
     depleted = (F.col("_gone") > 0) & (F.col("_left") < min_kept * F.col("_base.n_words"))
     rules = F.struct(*[F.col(f"_base.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], base_failed.alias("base_failed"), F.col("_gone").alias("n_removed_lines"), F.col("_left").alias("kept_words"), (~base_failed & ~depleted).alias("kept"))
-    if not with_text:
-        return joined.select("_row", rules.alias("_rules")).select("_row.*", "_rules")
-    own = F.col("_row")[text_col].cast("string")
     cleaned = F.when(F.col("_gone") == 0, own).otherwise(F.array_join(F.filter(F.split(own, "\n"), lambda x: (F.length(F.translate(x, SPACE, "")) == 0) | ~gone(line_hash(x))), "\n"))
-    return joined.select("_row", rules.alias("_rules"), cleaned.alias("_cleaned")).select("_row.*", "_rules", "_cleaned")
+    return rows.select("_row", rules.alias("_rules"), cleaned.alias("_cleaned")).select("_row.*", "_rules", "_cleaned")

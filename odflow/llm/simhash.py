@@ -7,9 +7,10 @@ verified. Two fingerprints under a deleted bit are compared only if they differ
 there, for equal segments meet under the whole segment already.
 
 A signature with very many fingerprints is cut again: its members' other bits make
-three new segments, by the same rule, until the buckets are small. Within a bucket
-only a spanning forest of the links is kept, so output grows with documents, not
-with pairs.
+three new segments, by the same rule, until the buckets are small or no bits are
+left, when fingerprints differ in deleted bits only and are few. Within a bucket only
+a spanning forest of the links is kept, so output grows with documents, not with
+pairs.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, cut
+from .common import buckets_for, cut, tidy
 from .components import components
 
 BITS, NEAR, SEGMENTS = 64, 4, 3
@@ -53,7 +54,8 @@ def _fingerprints(words_each: int):
             for k, text in enumerate(batch.column(1)):
                 raw = text.as_buffer()
                 out[k] = fingerprint(raw.to_pybytes(), words_each) if raw is not None else 0
-            yield pa.record_batch([batch.column(0), pa.array(out.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "digest"])
+            yield pa.record_batch([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+        tidy()
 
     return run
 
@@ -137,7 +139,7 @@ def _links(fp: np.ndarray, bit: int, near: int) -> tuple[np.ndarray, np.ndarray]
     return (np.concatenate(one), np.concatenate(two)) if one else (fp[:0], fp[:0])
 
 
-def _match(near: int, large: int, last: bool):
+def _match(near: int, large: int):
     """Of a bucket of signatures: verified links, or the members of signatures to be cut again."""
 
     def run(rows: pa.Table) -> pa.Table:
@@ -162,7 +164,7 @@ def _match(near: int, large: int, last: bool):
             d += 1
         again = []
         for e, n in zip(edges[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
-            if n > large and not last and int(used[e]) != int(ALL):
+            if n > large and int(used[e]) != int(ALL):
                 again.append(np.arange(e, e + n))
             else:
                 a, b = _links(np.unique(fp[e : e + n]), int(bit[e]), near)
@@ -182,53 +184,36 @@ def _match(near: int, large: int, last: bool):
     return run
 
 
-def near_links(prints: DataFrame, buckets: int, near: int = NEAR, large: int = 4096, levels: int = 4) -> DataFrame:
+def near_links(prints: DataFrame, buckets: int, near: int = NEAR, large: int = 4096) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of the distinct fingerprints fp within near bits."""
     if near // SEGMENTS > 1:
         raise ValueError("three segments leave at most one bit in one of them only up to 5 differing bits")
     todo, found = prints.select(F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("used"), "fp"), None
-    for level in range(levels):
+    while found is None or not todo.isEmpty():  # each time at least a third of the bits left are used up
         blobs = todo.mapInArrow(_expand(buckets), "bucket long, keys binary, masks binary, bits binary, fps binary")
-        out = cut(blobs.groupBy("bucket").applyInArrow(_match(near, large, level == levels - 1), "a long, b long, fp long, again boolean"), "links")
+        out = cut(blobs.groupBy("bucket").applyInArrow(_match(near, large), "a long, b long, fp long, again boolean"), "links")
         links = out.where("not again").select("a", "b")
         found = links if found is None else found.unionByName(links)
         todo = out.where("again").select(F.col("a").alias("key"), F.col("b").alias("used"), "fp")
-        if todo.isEmpty():
-            break
     return found
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words_each: int = 4, near: int = NEAR, digest: bool = False) -> DataFrame:
-    """(doc_id, fingerprint, component_id, group_key, and if asked the text's digest) for each row.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words_each: int = 4, near: int = NEAR) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for each row.
 
     component_id is the smallest id reachable over fingerprints that differ in at
-    most near bits; group_key is the component itself, also where all ids are null.
-    Null and empty texts have no words, so fingerprint zero, linked like any
-    other. Repeated rows share a component. Other columns are ignored.
+    most near bits, null if all ids there are null. Null and empty texts have no
+    words, so fingerprint zero, linked like any other. Repeated rows share a
+    component. Other columns are ignored. An empty table gives an empty one.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    three = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), (F.xxhash64(text) if digest else F.lit(0).cast("long")).alias("digest"))
+    two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     buckets = buckets_for(docs, 4 << 20, 64)
-    prints = cut(three.mapInArrow(_fingerprints(words_each), "doc_id long, fp long, digest long"), "prints")
-    groups = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(near_links(groups.select("fp"), buckets, near))
-    linked = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    by_root = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_print = linked.select("fp", "root").join(by_root, "root")
-    joined = prints.join(of_print, "fp")
-    return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.col("root").alias("group_key"), *["digest"] * digest)
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words_each: int = 5, near: int = NEAR) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest id, all its columns as they are.
-
-    Of repeated rows one stays. A component whose ids are all null keeps the row with
-    the least hash of its text.
-    """
-    digest = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = near_duplicates(named, "id", "text", words_each=words_each, near=near, digest=True)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("group_key").agg(F.min(F.struct("doc_id", "digest")).alias("k"))
-    keepers = first.select(F.coalesce(F.col("k.doc_id").cast("string"), F.lit("")).alias("_id"), F.col("k.digest").alias("_digest"))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")).alias("_id"), digest.alias("_digest"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    return rows.join(keepers, ["_id", "_digest"], "left_semi").dropDuplicates(["_id", "_digest"]).select("_row.*")
+    prints = cut(two.mapInArrow(_fingerprints(words_each), "doc_id long, fp long"), "prints")
+    groups = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "groups")
+    # what a skewed key could make large is joined with a written table only: such joins are split at run time
+    linked = cut(groups.join(components(near_links(groups.select("fp"), buckets, near)).withColumnRenamed("node", "fp"), "fp"), "linked")
+    by_root = cut(linked.groupBy("root").agg(F.min("first").alias("component_id")), "roots")
+    of_linked = linked.join(by_root, "root").select("fp", "component_id")
+    alone = groups.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("first").alias("component_id"))
+    of_print = cut(of_linked.unionByName(alone), "of_print")
+    return prints.join(of_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
