@@ -51,10 +51,9 @@ def parse(args: list[str] | None = None) -> tuple[EngineConfig, str]:
 def _polygons(spark: SparkSession, base: str, id_column: str) -> DataFrame:
     if files.exists(spark, f"{base}.geojson"):
         return files.read_geojson(spark, f"{base}.geojson", id_column)
-    from .sources.shapefile import ShapefileSource
+    from .sources.shapefile import read_shapefile
 
-    spark.dataSource.register(ShapefileSource)
-    return spark.read.format("shapefile").load(f"{base}.shp").select(id_column, "ring")
+    return read_shapefile(spark, f"{base}.shp", id_column)
 
 
 def _box(area: str, size: float):
@@ -76,8 +75,8 @@ def process(spark: SparkSession, config: EngineConfig, folder: str) -> None:
     files.check_base_files(spark, folder, ("output_areas",) if grid else ("tessellation", "output_areas"))
     b = config.columns
     areas = _polygons(spark, f"{folder}/output_areas", b.oa_id).withColumnRenamed(b.oa_id, "loc_id")
-    made = areas.withColumn("c", geo.polygon_centroid(F.col("ring")))
-    loc = made.select("loc_id", F.col("c.y").alias("lat"), F.col("c.x").alias("lng"), geo.polygon_area(F.col("ring")).alias("area_km2"))
+    made = areas.where(F.size("shape") > 0).withColumn("c", geo.polygon_centroid(F.col("shape")))
+    loc = made.select("loc_id", F.col("c.y").alias("lat"), F.col("c.x").alias("lng"), geo.polygon_area(F.col("shape")).alias("area_km2"))
     raw = files.read_csv(spark, f"{folder}/flows.csv", f"`{b.flow_origin}` string, `{b.flow_destination}` string, `{b.flow_flows}` long")
     features = files.read_optional_features(spark, f"{folder}/features.csv", b.oa_id)
     if features is None:
@@ -86,12 +85,19 @@ def process(spark: SparkSession, config: EngineConfig, folder: str) -> None:
     else:
         features = features.withColumnRenamed(b.oa_id, "loc_id")
     if grid:
+        from .sources.shapefile import write_shapefile
+
+        write_shapefile(spatial.square_shapes(spatial.square_tiles(spark, grid)).withColumnRenamed("tile_id", b.tile_id), f"{folder}/tessellation_made", b.tile_id)
         placed = spatial.assign_square(loc, grid).where("tile_id is not null")
     else:
         placed = spatial.join_within(loc, _polygons(spark, f"{folder}/tessellation", b.tile_id).withColumnRenamed(b.tile_id, "tile_id"), cell=1.0)
     members = pairs.last_tile(placed.select("loc_id", "tile_id"))
     for name, df in (("loc", loc), ("flow", flows.dedupe(b.bind_flows(raw))), ("loc_tile", members), ("features", features)):
         df.write.mode("overwrite").parquet(f"{folder}/processed/{name}")
+    done = spark.read.parquet(f"{folder}/processed/loc")
+    files.write_csv(done.select(F.col("loc_id").alias("geo_code"), F.format_string("[%s,%s]", "lng", "lat").alias("centroid"), "area_km2"), f"{folder}/processed/areas_csv", gzip=True)
+    files.write_zip_csv(spark.read.parquet(f"{folder}/processed/flow").select("origin", "destination", "flow"), f"{folder}/processed/flows.csv.zip")
+    files.write_tile_tree(spark.read.parquet(f"{folder}/processed/loc_tile"), f"{folder}/processed/tile_tree")
 
 
 def _locations(spark: SparkSession, folder: str, split: str) -> DataFrame:
@@ -100,7 +106,7 @@ def _locations(spark: SparkSession, folder: str, split: str) -> DataFrame:
     members, features = read("loc_tile"), read("features")
     path = f"{folder}/processed/{split}_tiles.csv"
     if files.exists(spark, path):
-        members = members.join(F.broadcast(files.read_tile_list(spark, path)), "tile_id", "left_semi")
+        members = pairs.split_members(members, files.read_tile_list(spark, path).withColumn("split", F.lit(split))).select("loc_id", "tile_id")
     names = [c for c in features.columns if c != "loc_id"]
     loc = read("loc").select("loc_id", "lat", "lng").join(members, "loc_id").join(flows.population(read("flow"), read("loc")), "loc_id")
     short = {f"_f{k}": c for k, c in enumerate(names)}  # a feature may be called like a column of loc

@@ -24,10 +24,10 @@ class ColumnBinding:
         return bind(df, {self.flow_origin: ("origin", "string"), self.flow_destination: ("destination", "string"), self.flow_flows: ("flow", "long")})
 
     def bind_tiles(self, df: DataFrame) -> DataFrame:
-        return bind(df, {self.tile_id: ("tile_id", "string"), self.tile_geometry: ("ring", None)})
+        return bind(df, {self.tile_id: ("tile_id", "string"), self.tile_geometry: ("shape", None)})
 
     def bind_areas(self, df: DataFrame) -> DataFrame:
-        return bind(df, {self.oa_id: ("loc_id", "string"), self.oa_geometry: ("ring", None)})
+        return bind(df, {self.oa_id: ("loc_id", "string"), self.oa_geometry: ("shape", None)})
 
 
 def bind(df: DataFrame, roles: dict[str, tuple[str, str | None]]) -> DataFrame:
@@ -58,3 +58,7 @@ class EngineConfig:
     columns: ColumnBinding = field(default_factory=ColumnBinding)
     dim_dests: int = 512
     frac_true_dest: float = 0.0
+
+    def __post_init__(self) -> None:
+        if self.device != "cpu":
+            raise ValueError(f"the device {self.device!r} is not offered: models run on the executors' processors, device cpu")

@@ -102,8 +102,10 @@ def sample_destinations(locations: DataFrame, flows: DataFrame, dim: int, frac_t
 
 
 def split_members(members: DataFrame, tiles: DataFrame) -> DataFrame:
-    """(loc_id, tile_id, split) of the locations in the listed tiles."""
-    return members.join(tiles.select(F.col("tile_id").cast("string").alias("tile_id"), "split"), "tile_id")
+    """(loc_id, tile_id, split) of the locations in the listed tiles; a listed tile without a location is an error when the rows are read."""
+    listed = tiles.select(F.col("tile_id").cast("string").alias("tile_id"), "split")
+    unknown = F.raise_error(F.concat(F.lit("the split lists a tile without locations: "), F.col("tile_id")))
+    return listed.join(members, "tile_id", "left").select(F.when(F.col("loc_id").isNull(), unknown.cast("string")).otherwise(F.col("loc_id")).alias("loc_id"), "tile_id", "split")
 
 
 def split_train_test(ids: DataFrame, fraction: float, seed: int = 1234) -> DataFrame:

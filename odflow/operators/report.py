@@ -21,15 +21,19 @@ def pivot(results: DataFrame, anchor: str = MODELS[0], drop_tile: str = "0") ->
 
 
 def rank_first(sizes: DataFrame) -> DataFrame:
-    """sizes with rank: 1 is the smallest, ties by tile id. A report has a row a tile; the order is global."""
-    return sizes.withColumn("rank", F.row_number().over(Window.orderBy("n", "tile_id")))
+    """sizes with rank: 1 is the smallest, ties by tile id. Each size is ranked on its own; one task sums up the sizes' counts only."""
+    before = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.groupBy("n").agg(F.count("*").alias("_m")).select("n", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("n").orderBy("tile_id")) + F.col("_start")
+    return sizes.join(starts, "n").select(*sizes.columns, place.cast("int").alias("rank"))
 
 
 def decile_by_rank(sizes: DataFrame) -> DataFrame:
     """sizes with decile 0 to 9: equal-frequency bins whose edges interpolate ranks linearly."""
-    n = F.count("*").over(Window.partitionBy())
+    n = F.col("_rows")
     edge = F.when(n > 1, F.greatest(F.lit(0), F.ceil((F.col("rank") - 1) * 10 / (n - 1)) - 1)).otherwise(F.lit(0))
-    return rank_first(sizes).withColumn("decile", edge.cast("int")).drop("rank")
+    total = sizes.agg(F.count("*").alias("_rows"))  # one row
+    return rank_first(sizes).crossJoin(F.broadcast(total)).withColumn("decile", edge.cast("int")).drop("rank", "_rows")
 
 
 def decile_by_value(sizes: DataFrame) -> DataFrame:

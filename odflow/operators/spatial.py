@@ -34,15 +34,24 @@ def assign_square(points: DataFrame, grid, x: str = "lng", y: str = "lat") -> Da
     return points.withColumn("tile_id", F.when(inside, (j * nx + i).cast("string")))
 
 
-def join_within(points: DataFrame, polygons: DataFrame, cell: float, x: str = "lng", y: str = "lat", ring: str = "ring") -> DataFrame:
-    """points joined with the polygons (tile_id, ring) that they lie in.
+def join_within(points: DataFrame, polygons: DataFrame, cell: float, x: str = "lng", y: str = "lat", shape: str = "shape") -> DataFrame:
+    """points joined with the polygons (tile_id, shape) that they lie in.
 
     Both sides meet on grid cells: a polygon goes to the cells of its bounding box,
-    a point to its own, so the join has an equality; the exact test follows.
+    a point to its own, so the join has an equality; the exact test follows. A
+    polygon without points is met by none.
     """
     floor = lambda c: F.floor(c / cell)
-    xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
-    cells = polygons.withColumn("_i", F.explode(F.sequence(floor(F.array_min(xs)), floor(F.array_max(xs)))))
+    points_of = F.flatten(F.col(shape))
+    xs, ys = F.transform(points_of, lambda p: p["x"]), F.transform(points_of, lambda p: p["y"])
+    cells = polygons.where(F.size(points_of) > 0).withColumn("_i", F.explode(F.sequence(floor(F.array_min(xs)), floor(F.array_max(xs)))))
     cells = cells.withColumn("_j", F.explode(F.sequence(floor(F.array_min(ys)), floor(F.array_max(ys)))))
     placed = points.withColumn("_i", floor(F.col(x))).withColumn("_j", floor(F.col(y)))
-    return placed.join(cells, ["_i", "_j"]).where(point_within(F.col(x), F.col(y), F.col(ring))).drop("_i", "_j")
+    return placed.join(cells, ["_i", "_j"]).where(point_within(F.col(x), F.col(y), F.col(shape))).drop("_i", "_j")
+
+
+def square_shapes(tiles: DataFrame) -> DataFrame:
+    """(tile_id, shape) of square_tiles()' rows."""
+    corner = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    ring = F.array(corner("min_x", "min_y"), corner("max_x", "min_y"), corner("max_x", "max_y"), corner("min_x", "max_y"), corner("min_x", "min_y"))
+    return tiles.select("tile_id", F.array(ring).alias("shape"))

@@ -65,28 +65,38 @@ def split_tiles(spark: SparkSession, d: str) -> DataFrame:
     return r.select(F.col("r_regionkey").cast("string").alias("tile_id"), F.when(F.col("r_regionkey") % 2 == 0, "train").otherwise("test").alias("split"))
 
 
+#: Tags of part k: the value at k modulo the first number, none beyond the list; every tag and value that a predicate names is there.
+TAGS = {
+    "amenity": (41, ["marketplace", "restaurant", "fast_food", "cafe", "bar", "pub", "kindergarten", "school", "college", "university", "language_school", "police", "fire_station", "doctors", "dentist", "clinic", "toilets", "hospital", "pharmacy", "fuel", "place_of_worship", "community_centre", "library", "bus_station", "grave_yard", "bench"]),
+    "shop": (19, ["herbalist", "nutrition_supplements", "bakery"]),
+    "building": (7, ["yes", "aerodrome", "train_station"]),
+    "landuse": (23, ["retail"]),
+    "leisure": (29, ["park", "stadium", "swimming pool", "pitch", "sport_centre", "garden"]),
+    "highway": (5, ["primary"]),
+    "railway": (31, ["rail"]),
+    "office": (17, ["educational_institution", "company"]),
+    "historic": (37, ["castle"]),
+    "sport": (43, ["tennis"]),
+    "emergency": (47, ["phone"]),
+    "healthcare": (53, ["midwife"]),
+    "tourism": (59, ["hotel"]),
+    "aeroway": (61, ["runway"]),
+}
+
+
 def tags(spark: SparkSession, d: str) -> DataFrame:
-    """Parts as map features: three tags from their type and brand, the others null."""
+    """Parts as map features; tags that no predicate names are null."""
     from ..sources.osm import LINE_COLUMNS, POLYGON_COLUMNS
 
     p = table(spark, d, "part")
     k = F.col("p_partkey")
-    own = {
-        "amenity": F.when(k % 11 == 0, "school").when(k % 11 == 1, "restaurant").when(k % 11 == 2, "hospital").when(k % 11 == 3, "fuel").when(k % 11 == 4, "police").when(k % 11 == 5, "grave_yard"),
-        "shop": F.when(F.col("p_size") < 5, F.col("p_brand")).when(F.col("p_size") == 7, "herbalist"),
-        "building": F.when(k % 7 == 0, "yes").when(k % 7 == 1, "aerodrome").when(k % 7 == 2, "train_station"),
-        "landuse": F.when(F.col("p_size") % 10 == 3, "retail"),
-        "leisure": F.when(k % 13 == 0, "park").when(k % 13 == 1, "pitch"),
-        "highway": F.when(k % 5 == 0, "primary"),
-        "office": F.when(k % 17 == 0, "educational_institution"),
-        "name": F.col("p_name"),
-    }
+    own = {t: F.get(F.array(*[F.lit(v) for v in values]), (k % n).cast("int")) for t, (n, values) in TAGS.items()} | {"name": F.col("p_name")}
     every = sorted({*POLYGON_COLUMNS, *LINE_COLUMNS, "office", "sport"})
     return p.select(k.alias("id"), *[own.get(c, F.lit(None).cast("string")).alias(c) for c in every])
 
 
 def squares(loc: DataFrame, half: float = 0.5) -> DataFrame:
-    return loc.select("loc_id", geo.square_ring(F.col("lng"), F.col("lat"), half).alias("ring"))
+    return loc.select("loc_id", F.array(geo.square_ring(F.col("lng"), F.col("lat"), half)).alias("shape"))
 
 
 def reports(spark: SparkSession, d: str) -> DataFrame:
@@ -107,6 +117,7 @@ def sizes(spark: SparkSession, d: str, ties: bool = True) -> DataFrame:
 
 
 #: DuckDB CTEs of the same inputs.
+SQL_TAGS = ", ".join(f"CASE p_partkey % {n} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(values)) + f" END AS {t}" for t, (n, values) in TAGS.items())
 SQL_LOC = """loc AS (SELECT CAST(s_suppkey AS VARCHAR) AS loc_id, CAST(n_regionkey AS VARCHAR) AS tile_id,
   CAST((s_suppkey * 37) % 120 - 60 AS DOUBLE) AS lat, CAST((s_suppkey * 73) % 360 - 180 AS DOUBLE) AS lng, s_acctbal AS f_balance
   FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""

@@ -24,11 +24,12 @@ def population_floor(spark, d):
     return ops.population(zero)
 
 
-@query(f"""WITH {b.SQL_LOC}, {b.SQL_FLOW}, few AS (SELECT * FROM loc WHERE CAST(loc_id AS BIGINT) % 2 = 0), part_of AS (SELECT * FROM outf WHERE CAST(origin AS BIGINT) % 3 = 0)
-SELECT coalesce(l.loc_id, o.origin) AS loc_id, CASE WHEN coalesce(outflow, 0) = 0 THEN 1e-6 ELSE CAST(outflow AS DOUBLE) END AS pop FROM few l FULL JOIN part_of o ON l.loc_id = o.origin""")
+@query("""WITH l AS (SELECT CAST(s_suppkey AS VARCHAR) AS loc_id FROM supplier), o AS (SELECT CAST(o_custkey AS VARCHAR) AS origin, CAST(count(*) AS DOUBLE) AS outflow FROM orders GROUP BY 1)
+SELECT coalesce(l.loc_id, o.origin) AS loc_id, coalesce(outflow, 1e-6) AS pop FROM l FULL JOIN o ON l.loc_id = o.origin""")
 def population_full(spark, d):
-    even = b.locations(spark, d).where("cast(loc_id as bigint) % 2 = 0")
-    return ops.population(b.observed(spark, d).where("cast(origin as bigint) % 3 = 0"), even)
+    """Orders as flows of customers, suppliers as locations: both have ids that the other lacks."""
+    trips = table(spark, d, "orders").groupBy(F.col("o_custkey").cast("string").alias("origin"), F.col("o_orderstatus").alias("destination")).agg(F.count("*").alias("flow"))
+    return ops.population(trips, b.locations(spark, d))
 
 
 @query(f"WITH {b.SQL_FLOW} SELECT origin, outflow FROM outf")
@@ -105,11 +106,10 @@ def feature_vector(spark, d):
     return _flat(pair_ops.feature_vector(b.featured(spark, d), b.FEATURES), "x", 6, "loc_id")
 
 
-@query(f"""WITH {b.SQL_LOC}, m AS (SELECT loc_id, tile_id FROM loc UNION ALL SELECT loc_id, '9' FROM loc WHERE CAST(loc_id AS BIGINT) % 4 = 0)
-SELECT loc_id, max(tile_id) AS tile_id FROM m GROUP BY loc_id""")
+@query("SELECT CAST(c_nationkey AS VARCHAR) AS loc_id, max(c_mktsegment) AS tile_id FROM customer GROUP BY c_nationkey")
 def loc_tile_dedupe(spark, d):
-    loc = b.locations(spark, d).select("loc_id", "tile_id")
-    return pair_ops.last_tile(loc.unionByName(loc.where("cast(loc_id as bigint) % 4 = 0").withColumn("tile_id", F.lit("9"))))
+    """Customers' nations as locations that lie in many tiles."""
+    return pair_ops.last_tile(table(spark, d, "customer").select(F.col("c_nationkey").cast("string").alias("loc_id"), F.col("c_mktsegment").alias("tile_id")))
 
 
 @query(f"WITH {b.SQL_LOC} SELECT tile_id, string_agg(loc_id, ',' ORDER BY loc_id) AS members FROM loc GROUP BY tile_id")

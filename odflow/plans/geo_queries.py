@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import spatial
+from ..operators import described, spatial
 from ..sources import osm
 from ..sources.tables import table
 from . import bindings as b
@@ -14,25 +14,22 @@ from .registry import query, rounded
 
 @query(f"WITH {b.SQL_LOC} SELECT loc_id, round(1.0::DOUBLE / 1e6, 12) AS planar, round(6371.01 * 6371.01 * abs(radians(1.0)) * (sin(radians(lat + 0.5)) - sin(radians(lat - 0.5))), 3) AS sphere FROM loc")
 def polygon_area(spark, d):
-    """Squares of one degree: planar in the coordinates' unit, spherical within the rule's error of exact strips."""
+    """Squares of one degree: planar in the coordinates' unit, and on the sphere, where the rule is exact for them."""
     s = b.squares(b.locations(spark, d))
-    strip = F.lit(geo.EARTH_KM**2) * F.radians(F.lit(1.0)) * (F.sin(F.radians(F.col("ring")[2]["y"])) - F.sin(F.radians(F.col("ring")[0]["y"])))
-    sphere = geo.polygon_area(F.col("ring"), "sphere")
-    checked = F.when(F.abs(sphere - strip) < 1e-6 * F.abs(strip) + 1e-6, strip)
-    return s.select("loc_id", F.round(geo.polygon_area(F.col("ring")), 12).alias("planar"), F.round(checked, 3).alias("sphere"))
+    return s.select("loc_id", F.round(geo.polygon_area(F.col("shape")), 12).alias("planar"), F.round(geo.polygon_area(F.col("shape"), "sphere"), 3).alias("sphere"))
 
 
 @query(f"WITH {b.SQL_LOC} SELECT loc_id, round(lng, 6) AS x, round(lat, 6) AS y FROM loc")
 def polygon_centroid(spark, d):
-    octagon = b.locations(spark, d).select("loc_id", geo.regular_ring(F.col("lng"), F.col("lat"), 0.4, 8).alias("ring"))
-    c = octagon.select("loc_id", geo.polygon_centroid(F.col("ring")).alias("c"))
+    octagon = b.locations(spark, d).select("loc_id", F.array(geo.regular_ring(F.col("lng"), F.col("lat"), 0.4, 8)).alias("shape"))
+    c = octagon.select("loc_id", geo.polygon_centroid(F.col("shape")).alias("c"))
     return c.select("loc_id", (F.round("c.x", 6) + 0.0).alias("x"), (F.round("c.y", 6) + 0.0).alias("y"))
 
 
 @query(f"WITH {b.SQL_LOC} SELECT loc_id, round(lat, 6) AS lat, round(lng, 6) AS lng, 1e-6::DOUBLE AS area_km2 FROM loc")
 def loc_summary(spark, d):
-    s = b.squares(b.locations(spark, d)).withColumn("c", geo.polygon_centroid(F.col("ring")))
-    return s.select("loc_id", (F.round("c.y", 6) + 0.0).alias("lat"), (F.round("c.x", 6) + 0.0).alias("lng"), F.round(geo.polygon_area(F.col("ring")), 12).alias("area_km2"))
+    s = b.squares(b.locations(spark, d)).withColumn("c", geo.polygon_centroid(F.col("shape")))
+    return s.select("loc_id", (F.round("c.y", 6) + 0.0).alias("lat"), (F.round("c.x", 6) + 0.0).alias("lng"), F.round(geo.polygon_area(F.col("shape")), 12).alias("area_km2"))
 
 
 @query()
@@ -55,8 +52,7 @@ def assign_tile(spark, d):
 
 
 def _rings(spark):
-    t = spatial.square_tiles(spark, _GRID)
-    return t.select("tile_id", geo.square_ring((F.col("min_x") + F.col("max_x")) / 2, (F.col("min_y") + F.col("max_y")) / 2, 22.5).alias("ring"))
+    return spatial.square_shapes(spatial.square_tiles(spark, _GRID))
 
 
 @query(f"""WITH {b.SQL_LOC}, g AS (SELECT CAST(j * 8 + i AS VARCHAR) AS tile_id, -180 + i * 45 AS x, -60 + j * 45 AS y FROM (SELECT unnest(range(8)) AS i), (SELECT unnest(range(3)) AS j))
@@ -72,13 +68,40 @@ def spatial_join_bucketed(spark, d):
     return spatial.join_within(b.locations(spark, d).select("loc_id", "lat", "lng"), _rings(spark), 10.0).select("loc_id", "tile_id")
 
 
-_TAGS = """tags AS (SELECT p_partkey AS id, CASE p_partkey % 11 WHEN 0 THEN 'school' WHEN 1 THEN 'restaurant' WHEN 2 THEN 'hospital' WHEN 3 THEN 'fuel' WHEN 4 THEN 'police' WHEN 5 THEN 'grave_yard' END AS amenity,
-CASE WHEN p_size < 5 THEN p_brand WHEN p_size = 7 THEN 'herbalist' END AS shop, CASE p_partkey % 7 WHEN 0 THEN 'yes' WHEN 1 THEN 'aerodrome' WHEN 2 THEN 'train_station' END AS building,
-CASE WHEN p_size % 10 = 3 THEN 'retail' END AS landuse, CASE p_partkey % 13 WHEN 0 THEN 'park' WHEN 1 THEN 'pitch' END AS leisure, CASE WHEN p_partkey % 5 = 0 THEN 'primary' END AS highway,
-CASE WHEN p_partkey % 17 = 0 THEN 'educational_institution' END AS office, p_name AS name FROM part)"""
-_FOOD = "(shop IS NOT NULL OR amenity = 'restaurant' OR office IS NOT NULL)"
-_EDU = "(amenity = 'school' OR office = 'educational_institution')"
-_POINT = f"(building IS NOT NULL OR {_FOOD} OR {_EDU} OR amenity IN ('police', 'hospital', 'fuel') OR shop = 'herbalist' OR landuse IS NOT NULL OR leisure IN ('park', 'pitch') OR amenity = 'grave_yard')"
+#: Of every location a shape of two squares, the first with a hole: parts 2 degrees wide at it and 4 degrees east, a hole of 1 degree.
+def _ringed(loc):
+    x, y = F.col("lng"), F.col("lat")
+    return loc.select("loc_id", F.array(geo.square_ring(x, y, 1.0), F.reverse(geo.square_ring(x, y, 0.5)), geo.square_ring(x + 4, y, 1.0)).alias("shape"))
+
+
+@query(f"WITH {b.SQL_LOC} SELECT loc_id, round(7.0 / 1e6, 12) AS area, round(lng + 16 / 7.0, 6) AS x, round(lat, 6) AS y FROM loc")
+def shape_parts_and_holes(spark, d):
+    """One area and one centre for all parts of a shape, without its hole."""
+    s = _ringed(b.locations(spark, d)).withColumn("c", geo.polygon_centroid(F.col("shape")))
+    return s.select("loc_id", F.round(geo.polygon_area(F.col("shape")), 12).alias("area"), (F.round("c.x", 6) + 0.0).alias("x"), (F.round("c.y", 6) + 0.0).alias("y"))
+
+
+@query(f"""WITH {b.SQL_LOC}, p AS (SELECT loc_id AS point, lng + dx AS x, lat + dy AS y FROM loc, (SELECT unnest([0.25, 0.5, 0.75, 1.0, 3.5, 5.5]) AS dx), (SELECT unnest([0.0, 0.75]) AS dy))
+SELECT point, x, y, loc_id FROM p JOIN loc ON (abs(x - lng) < 1 AND abs(y - lat) < 1 AND (abs(x - lng) > 0.5 OR abs(y - lat) > 0.5)) OR (abs(x - lng - 4) < 1 AND abs(y - lat) < 1)""")
+def spatial_join_parts_and_holes(spark, d):
+    """Points in a hole, on its edge, between the parts and in them."""
+    loc = b.locations(spark, d).select("loc_id", "lat", "lng")
+    steps = lambda values: F.explode(F.array(*[F.lit(v) for v in values]))
+    points = loc.withColumn("dx", steps([0.25, 0.5, 0.75, 1.0, 3.5, 5.5])).withColumn("dy", steps([0.0, 0.75]))
+    points = points.select(F.col("loc_id").alias("point"), (F.col("lng") + F.col("dx")).alias("x"), (F.col("lat") + F.col("dy")).alias("y"))
+    return spatial.join_within(points, _ringed(loc), 5.0, "x", "y").select("point", "x", "y", "loc_id")
+
+
+_TAGS = f"tags AS (SELECT p_partkey AS id, {b.SQL_TAGS}, p_name AS name FROM part)"
+_FOOD = "(shop IS NOT NULL OR tourism IS NOT NULL OR office IS NOT NULL OR amenity IN ('marketplace', 'restaurant', 'fast_food', 'cafe', 'bar', 'pub'))"
+_EDU = "(amenity IN ('kindergarten', 'school', 'college', 'university', 'language_school') OR office = 'educational_institution')"
+_EMERGENCY = "(emergency IS NOT NULL OR amenity IN ('police', 'fire_station'))"
+_HEALTH = "(healthcare IS NOT NULL OR amenity IN ('doctors', 'dentist', 'clinic', 'toilets', 'hospital', 'pharmacy') OR shop IN ('herbalist', 'nutrition_supplements'))"
+_LANDUSE = "(landuse IS NOT NULL OR leisure = 'park' OR amenity = 'grave_yard')"
+_SPORT = "(sport IS NOT NULL OR leisure IN ('stadium', 'swimming pool', 'pitch', 'sport_centre'))"
+_AEROWAY = "(aeroway IS NOT NULL OR building = 'aerodrome')"
+_SINGLE = "amenity IN ('fuel', 'place_of_worship', 'community_centre', 'library', 'bus_station')"
+_POINT = f"(building IS NOT NULL OR historic IS NOT NULL OR {_FOOD} OR {_EDU} OR {_EMERGENCY} OR {_HEALTH} OR {_LANDUSE} OR {_SPORT} OR {_AEROWAY} OR {_SINGLE})"
 
 
 def _themes(kind, *themes):
@@ -88,7 +111,7 @@ def _themes(kind, *themes):
     return run
 
 
-@query(f"WITH {_TAGS} SELECT id, amenity, shop, building FROM tags WHERE office = 'educational_institution' OR amenity = 'school'")
+@query(f"WITH {_TAGS} SELECT id, amenity, shop, building FROM tags WHERE {_EDU}")
 def osm_project(spark, d):
     return osm.select_features(b.tags(spark, d), "point", ["education"], keep=["id"]).select("id", "amenity", "shop", "building")
 
@@ -98,12 +121,12 @@ def osm_point_filter(spark, d):
     return _themes("point")(spark, d)
 
 
-@query(f"WITH {_TAGS} SELECT id, name FROM tags WHERE building = 'train_station' OR landuse IS NOT NULL OR leisure = 'park' OR amenity = 'grave_yard'")
+@query(f"WITH {_TAGS} SELECT id, name FROM tags WHERE {_POINT} OR building = 'train_station'")
 def osm_polygon_filter(spark, d):
-    return _themes("polygon", "train_station", "landuse")(spark, d)
+    return _themes("polygon")(spark, d)
 
 
-@query(f"WITH {_TAGS} SELECT id, name FROM tags WHERE building = 'aerodrome' OR highway IS NOT NULL")
+@query(f"WITH {_TAGS} SELECT id, name FROM tags WHERE {_AEROWAY} OR highway IS NOT NULL OR railway IS NOT NULL")
 def osm_line_filter(spark, d):
     return _themes("line")(spark, d)
 
@@ -118,17 +141,85 @@ def osm_education(spark, d):
     return _themes("point", "education")(spark, d)
 
 
-@query(f"WITH {_TAGS} SELECT id, name FROM tags WHERE amenity = 'hospital' OR shop = 'herbalist'")
+@query(f"WITH {_TAGS} SELECT id, name FROM tags WHERE {_HEALTH}")
 def osm_health(spark, d):
     return _themes("point", "health")(spark, d)
 
 
-@query(f"WITH {_TAGS} SELECT id, name FROM tags WHERE landuse IS NOT NULL OR leisure = 'park' OR amenity = 'grave_yard'")
+@query(f"WITH {_TAGS} SELECT id, name FROM tags WHERE {_LANDUSE}")
 def osm_landuse(spark, d):
     return _themes("point", "landuse")(spark, d)
 
 
+_COUNTED = {
+    "building": "building IS NOT NULL", "food_retail": _FOOD, "education": _EDU, "emergency": _EMERGENCY, "health": _HEALTH, "landuse": _LANDUSE, "fuel": "amenity = 'fuel'", "place_of_worship": "amenity = 'place_of_worship'",
+    "community_centre": "amenity = 'community_centre'", "library": "amenity = 'library'", "bus_station": "amenity = 'bus_station'", "historic": "historic IS NOT NULL", "sport": _SPORT, "aeroway": _AEROWAY,
+}
+_BY_KIND = {"point": _COUNTED, "polygon": _COUNTED | {"train_station": "building = 'train_station'"}, "line": {"aeroway": _AEROWAY, "road": "highway IS NOT NULL", "railway": "railway IS NOT NULL"}}
+
+
+@query(f"WITH {_TAGS} " + " UNION ALL ".join(f"SELECT '{kind}' AS kind, '{theme}' AS theme, CAST(count(*) AS BIGINT) AS n FROM tags WHERE {where}" for kind, themes in _BY_KIND.items() for theme, where in themes.items()))
+def osm_theme_counts(spark, d):
+    """How many features each predicate of each kind holds for: none is left untried."""
+    tags = b.tags(spark, d)
+    every = [(kind, theme, holds) for kind in ("point", "polygon", "line") for theme, holds in osm.predicates(kind).items()]
+    counts = tags.agg(*[F.count(F.when(holds, 1)).alias(f"{kind}|{theme}") for kind, theme, holds in every])
+    rows = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(theme).alias("theme"), F.col(f"`{kind}|{theme}`").alias("n")) for kind, theme, _ in every])).alias("r")
+    return counts.select(rows).select("r.*")
+
+
+_AT = "CAST((p_partkey * 53) % 360 - 180 AS DOUBLE) + 0.25 AS x, CAST((p_partkey * 29) % 118 - 59 AS DOUBLE) + 0.25 AS y"
+_IN = "CAST(CAST(floor(({y} + 60) / 45) * 8 + floor(({x} + 180) / 45) AS BIGINT) AS VARCHAR)"
+
+
+def _spots(spark, d):
+    """Parts at places (x, y), with a key."""
+    k = F.col("p_partkey")
+    return table(spark, d, "part").select(k.alias("k"), ((k * 53) % 360 - 180 + F.lit(0.25)).alias("x"), ((k * 29) % 118 - 59 + F.lit(0.25)).alias("y"))
+
+
+def _areas(spark):
+    return _rings(spark).withColumnRenamed("tile_id", "loc_id")
+
+
+def _class(k, classes):
+    return F.element_at(F.array(*[F.lit(c) for c in classes]), (k % len(classes) + 1).cast("int")).alias("class")
+
+
 LANDUSES, ROADS, PLACES = ["residential", "commercial", "industrial", "retail", "natural"], ["residential", "main", "other"], ["transport", "food", "health", "education", "retail"]
+_STRIP = "6371.01 * 6371.01 * radians(0.5) * (sin(radians(y + 0.25)) - sin(radians(y - 0.25)))"
+_KM = "2 * 6371.01 * asin(sqrt(pow(sin(radians({a} - {b}) / 2), 2) + cos(radians({a})) * cos(radians({b})) * pow(sin(radians({w}) / 2), 2)))"
+
+
+@query(f"WITH p AS (SELECT p_partkey AS k, {_AT} FROM part) SELECT {_IN.format(x='x', y='y')} AS loc_id, " + ", ".join(f"round(coalesce(sum({_STRIP}) FILTER (k % 5 = {i}), 0), 4) AS {c}" for i, c in enumerate(LANDUSES)) + " FROM p GROUP BY 1")
+def feat_land_use_km2(spark, d):
+    """Square kilometres of land use by class and location, from shapes of half a degree."""
+    uses = _spots(spark, d).select(_class(F.col("k"), LANDUSES), F.array(geo.square_ring(F.col("x"), F.col("y"), 0.25)).alias("shape"))
+    return described.land_use_km2(uses, _areas(spark), LANDUSES, 45.0).select("loc_id", *[F.round(c, 4).alias(c) for c in LANDUSES])
+
+
+_PIECES = f"""p AS (SELECT p_partkey AS k, {_AT} FROM part), e AS (SELECT k, x + 0.25 AS mx, y AS my, {_KM.format(a='y', b='y', w='0.5')} AS km FROM p UNION ALL SELECT k, x + 0.5, y + 0.25, {_KM.format(a='y', b='(y + 0.5)', w='0.0')} FROM p)"""
+
+
+@query(f"WITH {_PIECES} SELECT {_IN.format(x='mx', y='my')} AS loc_id, " + ", ".join(f"round(coalesce(sum(km) FILTER (k % 3 = {i}), 0), 5) AS {c}" for i, c in enumerate(ROADS)) + " FROM e GROUP BY 1")
+def feat_road_km(spark, d):
+    """Kilometres of road by class and location, from lines of two pieces."""
+    x, y = F.col("x"), F.col("y")
+    point = lambda dx, dy: F.struct((x + dx).alias("x"), (y + dy).alias("y"))
+    roads = _spots(spark, d).select(_class(F.col("k"), ROADS), F.array(point(0.0, 0.0), point(0.5, 0.0), point(0.5, 0.5)).alias("line"))
+    return described.road_km(roads, _areas(spark), ROADS, 45.0).select("loc_id", *[F.round(c, 5).alias(c) for c in ROADS])
+
+
+@query(f"WITH p AS (SELECT p_partkey AS k, {_AT} FROM part) SELECT {_IN.format(x='x', y='y')} AS loc_id, " + ", ".join(f"CAST(count(*) FILTER (k % 5 = {i}) AS BIGINT) AS {c}" for i, c in enumerate(PLACES)) + " FROM p GROUP BY 1")
+def feat_place_counts(spark, d):
+    places = _spots(spark, d).select(_class(F.col("k"), PLACES), "x", "y")
+    return described.place_counts(places, _areas(spark), PLACES, 45.0)
+
+
+@query(f"WITH p AS (SELECT p_partkey AS k, {_AT} FROM part), c AS (SELECT floor((x + 180) / 45) AS i, floor((y + 60) / 45) AS j, " + ", ".join(f"count(*) FILTER (k % 5 = {i}) AS {c}" for i, c in enumerate(PLACES)) + " FROM p GROUP BY 1, 2), a AS (SELECT *, 6371.01 * 6371.01 * radians(45.0) * (sin(radians(j * 45 - 15)) - sin(radians(j * 45 - 60))) / 1e6 AS mkm2 FROM c) SELECT CAST(CAST(j * 8 + i AS BIGINT) AS VARCHAR) AS loc_id, " + ", ".join(f"round({c} / mkm2, 6) AS {c}" for c in PLACES) + " FROM a")
+def feat_places_per_million_km2(spark, d):
+    made = described.per_km2(feat_place_counts(spark, d), _areas(spark))
+    return made.select("loc_id", *[F.round(F.col(c) * 1e6, 6).alias(c) for c in PLACES])
 
 
 def _items(spark, d, classes):

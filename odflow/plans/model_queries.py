@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions.choice import by_origin
 from ..functions.choice import leaky_relu as leaky
 from ..functions.choice import log_softmax as log_sm
 from ..functions.choice import softmax
@@ -205,9 +206,11 @@ def compare_models(spark, d):
     p = b.pairs(spark, d, vectors=True)
     net = mlp.expression(_small_inputs(), _small_layers())
     kinds = {"G": linear.score(pair_ops.feature_set("g"), b.WEIGHTS), "NG": net, "MFG": linear.score(pair_ops.feature_set("mfg"), _LONG, 0.1), "DG": net + 0.0001 * F.col("d_x")[5]}
-    scores = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), s.alias("score")) for m, s in kinds.items()])).alias("m")
-    rows = p.select("origin", "t", scores).select(F.concat_ws("|", "m.model", "origin").alias("origin"), "t", "m.*")
-    return rounded(ev.generate(rows).groupBy("model").agg((F.sum(F.least("t", "gen")) / F.sum("gen")).alias("cpc")), "cpc")
+    scored = p.select("origin", "t", *[s.alias(m) for m, s in kinds.items()])
+    shares = scored.select("t", *[(softmax(F.col(m)) * F.sum("t").over(by_origin())).alias(m) for m in kinds])  # all windows over one exchange by origin
+    one = shares.agg(*[(F.sum(F.least("t", m)) / F.sum(m)).alias(m) for m in kinds])
+    rows = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("cpc")) for m in kinds])).alias("r")
+    return rounded(one.select(rows).select("r.*"), "cpc")
 
 
 _GRAD = f"""{b.SCORED} SELECT round(-sum(t * lp), 4) AS loss, round(sum((tot * p - t) * ln(d_pop)), 4) AS g0, round(sum((tot * p - t) * dist), 4) AS g1 FROM pr"""
@@ -222,9 +225,14 @@ def train_linear_step(spark, d):
 
 
 def _work(spark, name: str) -> str:
+    """A folder that driver and executors share: under spark.checkpoint.dir; where it is unset, a local session gets one of its own, a cluster an error."""
     import tempfile
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.gettempdir()
     return f"{base.rstrip('/')}/odflow-{name}-{uuid.uuid4().hex}"
 
 

@@ -1,15 +1,18 @@
-"""Shapefiles as a Spark data source: polygons from .shp, attributes from .dbf (the public ESRI and dBASE formats)."""
+"""Shapefiles: polygons from .shp, attributes from .dbf (the public ESRI and dBASE formats), read and written through Hadoop's file systems."""
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .files import put
 
 POLYGON_TYPES = (5, 15, 25)
-RING = ArrayType(StructType([StructField("x", DoubleType()), StructField("y", DoubleType())]))
+SHAPE = "array<array<struct<x: double, y: double>>>"
 
 
 def attributes(dbf: bytes, encoding: str) -> tuple[list[str], Iterator[dict[str, str]]]:
@@ -50,53 +53,49 @@ def polygons(shp: bytes) -> Iterator[list[list[tuple[float, float]]]]:
         at = body + 2 * size
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, options: dict, schema: StructType):
-        self.options, self.names = options, schema.fieldNames()
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.options["path"].split(",")]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        base = partition.value.removesuffix(".shp")
-        with open(f"{base}.shp", "rb") as s, open(f"{base}.dbf", "rb") as d:
-            shp, dbf = s.read(), d.read()
-        _, rows = attributes(dbf, self.options.get("encoding", "utf-8"))
-        for row, rings in zip(rows, polygons(shp), strict=True):
-            for ring in rings:
-                yield tuple([{"x": x, "y": y} for x, y in ring] if n == "ring" else row.get(n) for n in self.names)
-
-
-class ShapefileSource(DataSource):
-    """spark.read.format("shapefile").schema("GEOID string, ring array<struct<x: double, y: double>>").load(path)."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "shapefile"
-
-    def schema(self) -> StructType:
-        base = self.options["path"].split(",")[0].removesuffix(".shp")
-        with open(f"{base}.dbf", "rb") as d:
-            names, _ = attributes(d.read(), self.options.get("encoding", "utf-8"))
-        return StructType([*[StructField(n, StringType()) for n in names], StructField("ring", RING)])
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(self.options, schema)
-
-
-def write_shapefile(base: str, id_field: str, rows: list[tuple[str, list[tuple[float, float]]]]) -> None:
-    """A small polygon shapefile (.shp and .dbf), as for a generated tessellation."""
+def read_shapefile(spark: SparkSession, path: str, id_column: str, encoding: str = "utf-8") -> DataFrame:
+    """(id_column as string, shape) of a .shp and the .dbf beside it: a row a record, with all rings of its parts, a pair of files a task.
+
+    The format has outer rings run clockwise and holes counter-clockwise; shapes have
+    them the other way round. A null shape has no ring.
+    """
+    base = path.removesuffix(".shp")
+    files = spark.read.format("binaryFile").load([f"{base}.shp", f"{base}.dbf"])
+    pair = files.groupBy(F.regexp_replace("path", r"\.(shp|dbf)$", "").alias("base")).agg(*[F.first(F.when(F.col("path").endswith(f".{kind}"), F.col("content")), ignorenulls=True).alias(kind) for kind in ("shp", "dbf")])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for shp, dbf in zip(pdf["shp"], pdf["dbf"], strict=True):
+                names, rows = attributes(dbf, encoding)
+                if id_column not in names:
+                    raise ValueError(f"the shapefile needs the column {id_column}, it has {names}")
+                held = []
+                for row, rings in zip(rows, polygons(shp), strict=True):
+                    held.append((row[id_column], [[{"x": x, "y": y} for x, y in ring[::-1]] for ring in rings]))
+                    if len(held) == 1000:
+                        yield pd.DataFrame(held, columns=["id", "shape"])
+                        held = []
+                if held:
+                    yield pd.DataFrame(held, columns=["id", "shape"])
+
+    return pair.select("shp", "dbf").mapInPandas(run, f"id string, shape {SHAPE}").withColumnRenamed("id", id_column)
+
+
+def write_shapefile(shapes: DataFrame, base: str, id_column: str) -> None:
+    """base.shp and base.dbf from (id_column, shape), as for a generated tessellation; the files are made on the driver."""
+    rows = [(str(r[0]), [[(p.x, p.y) for p in ring] for ring in r[1]]) for r in shapes.select(id_column, "shape").toLocalIterator()]
     body = b""
-    for k, (_, ring) in enumerate(rows, 1):
-        xs, ys = zip(*ring, strict=True)
-        shape = struct.pack("<i4dii i", 5, min(xs), min(ys), max(xs), max(ys), 1, len(ring), 0) + b"".join(struct.pack("<2d", *p) for p in ring)
+    for k, (_, rings) in enumerate(rows, 1):
+        points = [p for ring in rings for p in ring[::-1]]
+        starts = [sum(map(len, rings[:j])) for j in range(len(rings))]
+        xs, ys = zip(*points, strict=True)
+        shape = struct.pack(f"<i4dii{len(rings)}i", 5, min(xs), min(ys), max(xs), max(ys), len(rings), len(points), *starts) + b"".join(struct.pack("<2d", *p) for p in points)
         body += struct.pack(">II", k, len(shape) // 2) + shape
-    points = [p for _, r in rows for p in r] or [(0.0, 0.0)]
-    box = [f(p[i] for p in points) for f in (min, max) for i in (0, 1)]
+    every = [p for _, rings in rows for ring in rings for p in ring] or [(0.0, 0.0)]
+    box = [f(p[i] for p in every) for f in (min, max) for i in (0, 1)]
     head = struct.pack(">I20xI", 9994, (100 + len(body)) // 2) + struct.pack("<ii8d", 1000, 5, *box, 0, 0, 0, 0)
     width = max([len(i.encode()) for i, _ in rows] or [1])
-    dbf = struct.pack("<B3BIHH20x", 3, 126, 1, 1, len(rows), 65, width + 1) + struct.pack("<11sc4xBB14x", id_field.encode(), b"C", width, 0) + b"\r"
+    dbf = struct.pack("<B3BIHH20x", 3, 126, 1, 1, len(rows), 65, width + 1) + struct.pack("<11sc4xBB14x", id_column.encode(), b"C", width, 0) + b"\r"
     dbf += b"".join(b" " + i.encode().ljust(width) for i, _ in rows) + b"\x1a"
     for suffix, data in ((".shp", head + body), (".dbf", dbf)):
-        with open(base + suffix, "wb") as f:
-            f.write(data)
+        put(shapes.sparkSession, base + suffix, iter([data]))

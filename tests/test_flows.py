@@ -136,12 +136,19 @@ def test_deciles_are_those_of_pandas(spark):
         report.decile_by_value(spark.createDataFrame([(str(k), 1) for k in range(30)], "tile_id string, n long")).collect()
 
 
+SHAPES = "tile_id string, shape array<array<struct<x: double, y: double>>>"
+
+
+def box(x, y, s):
+    return [(float(a), float(b)) for a, b in ((x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y))]
+
+
 def test_points_in_polygons(spark):
     rng = np.random.default_rng(5)
     rows = [(k, *map(float, rng.uniform(-3, 3, 2))) for k in range(300)] + [(900, 0.5, 0.0), (901, 0.0, 0.0)]
     pts = spark.createDataFrame(rows, "id long, lng double, lat double")
     ring = [(0, 0), (2, 0), (2, 2), (1, 1), (0, 2), (0, 0)]
-    poly = spark.createDataFrame([("P", [(float(x), float(y)) for x, y in ring])], "tile_id string, ring array<struct<x: double, y: double>>")
+    poly = spark.createDataFrame([("P", [[(float(x), float(y)) for x, y in ring]]), ("none", [])], SHAPES)
 
     def inside(x, y):
         return 0 < x < 2 and 0 < y < (2 - x if x <= 1 else x)
@@ -149,7 +156,7 @@ def test_points_in_polygons(spark):
     for cell in (0.3, 5.0):
         got = {r.id for r in spatial.join_within(pts, poly, cell).collect()}
         assert got == {k for k, x, y in rows if inside(x, y)}
-    c = poly.select(geo.signed_area(F.col("ring")).alias("a"), geo.polygon_centroid(F.col("ring")).alias("c")).first()
+    c = poly.where("tile_id = 'P'").select(geo.signed_area(F.col("shape")).alias("a"), geo.polygon_centroid(F.col("shape")).alias("c")).first()
     assert c.a == pytest.approx(3.0) and c.c.x == pytest.approx(1.0)
     grid = spatial.tessellate(-3, -3, 3, 3, 1)
     assert spatial.assign_square(pts, grid).where("tile_id is null").count() == 0 and spatial.square_tiles(spark, grid).count() == 36
@@ -183,13 +190,72 @@ def test_osm_strict_literal(spark):
 
 
 def test_shapefile(spark, tmp_path):
-    from odflow.sources.shapefile import ShapefileSource, write_shapefile
+    from odflow.sources.shapefile import read_shapefile, write_shapefile
+
+    shapes = [("007", [box(0, 0, 4), box(1, 1, 2)[::-1], box(6, 0, 1)]), ("8", [box(0, 9, 1)])]
+    write_shapefile(spark.createDataFrame(shapes, SHAPES).withColumnRenamed("tile_id", "tile_ID"), str(tmp_path / "t"), "tile_ID")
+    got = {r.tile_ID: [[(p.x, p.y) for p in ring] for ring in r.shape] for r in read_shapefile(spark, str(tmp_path / "t.shp"), "tile_ID").collect()}
+    assert got == dict(shapes)
+    with pytest.raises(Exception, match="other"):
+        read_shapefile(spark, str(tmp_path / "t.shp"), "other").collect()
+
+
+def test_holes_and_parts(spark, tmp_path):
+    """Whichever way the rings run in the file, and in GeoJSON as in a shapefile."""
+    from odflow.sources.shapefile import read_shapefile, write_shapefile
+
+    parts = [[box(0, 0, 4)[::-1], box(1, 1, 2)], [box(6, 0, 1)]]
+    feature = {"type": "Feature", "properties": {"tile_id": "T"}, "geometry": {"type": "MultiPolygon", "coordinates": parts}}
+    (tmp_path / "t.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [feature, {"type": "Feature", "properties": {"tile_id": "empty"}, "geometry": None}]}))
+    shapes = files.read_geojson(spark, str(tmp_path / "t.geojson"), "tile_id")
+    assert {r.tile_id: len(r.shape) for r in shapes.collect()} == {"T": 3, "empty": 0}
+    write_shapefile(shapes.where("tile_id = 'T'"), str(tmp_path / "t"), "tile_id")
+    points = spark.createDataFrame([("hole", 2.0, 2.0), ("in", 0.5, 2.0), ("second", 6.5, 0.5), ("between", 5.0, 0.5), ("edge", 1.0, 2.0), ("rim", 0.0, 1.0)], "id string, lng double, lat double")
+    for made in (shapes, read_shapefile(spark, str(tmp_path / "t.shp"), "tile_id")):
+        assert sorted(r.id for r in spatial.join_within(points, made, 3.0).collect()) == ["in", "second"]
+        c = made.where("tile_id = 'T'").select((geo.polygon_area(F.col("shape")) * 1e6).alias("a"), geo.polygon_centroid(F.col("shape")).alias("c")).first()
+        assert c.a == pytest.approx(13) and (c.c.x, c.c.y) == pytest.approx(((12 * 2 + 6.5) / 13, (12 * 2 + 0.5) / 13))
+
+
+def test_area_of_slanting_edges_is_as_near_as_said(spark):
+    n = 400
+    line = [(20 * k / n, 40 + 10 * k / n) for k in range(n + 1)]
+    fine = spark.createDataFrame([("T", [[*line, (0.0, 50.0), (0.0, 40.0)]]), ("C", [[line[0], line[-1], (0.0, 50.0), (0.0, 40.0)]])], SHAPES)
+    got = {r.tile_id: r.a for r in fine.select("tile_id", geo.polygon_area(F.col("shape"), "sphere").alias("a")).collect()}
+    bound = geo.EARTH_KM**2 * math.radians(20) * math.radians(10) ** 2 / 12
+    assert 0.1 * bound < abs(got["C"] - got["T"]) < bound
+
+
+def test_a_split_may_not_list_unknown_tiles(spark):
+    members = spark.createDataFrame([("a", "1")], "loc_id string, tile_id string")
+    listed = spark.createDataFrame([("1", "train"), ("2", "train")], "tile_id string, split string")
+    assert pairs.split_members(members, listed.where("tile_id = '1'")).count() == 1
+    with pytest.raises(Exception, match="without locations: 2"):
+        pairs.split_members(members, listed).collect()
+
 
-    square = [(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (0.0, 0.0)]
-    write_shapefile(str(tmp_path / "t"), "tile_ID", [("007", square), ("8", square[::-1])])
-    spark.dataSource.register(ShapefileSource)
-    rows = spark.read.format("shapefile").load(str(tmp_path / "t.shp")).collect()
-    assert [r.tile_ID for r in rows] == ["007", "8"] and [(p.x, p.y) for p in rows[0].ring] == square
+def test_device():
+    with pytest.raises(ValueError, match="cuda"):
+        cli.parse(["--device", "cuda"])
+
+
+def test_areas_of_two_parts_on_the_command_line(spark, tmp_path):
+    d = tmp_path / "parts"
+    d.mkdir()
+    shape = lambda name, i, parts: {"type": "Feature", "properties": {name: i}, "geometry": {"type": "MultiPolygon", "coordinates": parts}}
+    dump = lambda features: json.dumps({"type": "FeatureCollection", "features": features})
+    (d / "tessellation.geojson").write_text(dump([shape("tile_ID", "T", [[box(0, 0, 20)]])]))
+    (d / "output_areas.geojson").write_text(dump([shape("oa_ID", "two", [[box(1, 1, 2)], [box(5, 1, 2)]]), shape("oa_ID", "one", [[box(10, 10, 3)]])]))
+    (d / "flows.csv").write_text("origin,destination,flow\ntwo,one,3\none,two,2\n")
+    config, folder = cli.parse(["--dataset", "parts", "--data-dir", str(tmp_path), "--model", "G"])
+    cli.process(spark, config, folder)
+    made, loc = cli.test_pairs(spark, config, folder)
+    assert loc.count() == 2 and sorted((r.origin, r.destination, r.t) for r in made.collect()) == [("one", "one", 0), ("one", "two", 2), ("two", "one", 3), ("two", "two", 0)]
+    at = {r.loc_id: (r.lng, r.lat) for r in spark.read.parquet(f"{folder}/processed/loc").collect()}
+    assert at["two"] == pytest.approx((4, 2))
+    assert {(r.origin, r.flow) for r in files.read_zip_csv(spark, f"{folder}/processed/flows.csv.zip", files.FLOW_SCHEMA).collect()} == {("two", 3), ("one", 2)}
+    assert {r.loc_id for r in files.read_tile_tree(spark, f"{folder}/processed/tile_tree").collect()} == {"one", "two"}
+    assert files.read_csv(spark, f"{folder}/processed/areas_csv", "geo_code string, centroid string, area_km2 double").count() == 2
 
 
 def test_command_line(spark, tmp_path):
@@ -207,6 +273,9 @@ def test_command_line(spark, tmp_path):
         got = files.read_csv(spark, files.result_path(str(d), model, "demo", 0), "tile string, cpc double").collect()
         assert {r.tile for r in got} == {"007", "1"} and all(0 <= r.cpc <= 1 for r in got)
     assert [len(store.load(spark, str(d / "results" / f"model_{m}_demo"))[0]) for m in ("G", "DG")] == [1, 16]
+    compared = files.read_results(spark, str(d))
+    assert {(r.model, r.round, r.tile_id) for r in compared.collect()} == {(m, 0, t) for m in ("G", "DG") for t in ("007", "1")}
+    assert {r.tile_id for r in report.pivot(compared).where("G is not null").collect()} == {"007", "1"}
     assert files.is_cached(spark, str(d))
     with pytest.raises(ValueError):
         files.check_dataset(spark, str(tmp_path / "absent"))
@@ -228,6 +297,9 @@ def test_command_line_over_a_box_with_features_and_samples(spark, tmp_path):
     cli.main(run)
     got = files.read_csv(spark, files.result_path(str(d), "MFG", "box", 0), "tile string, cpc double").collect()
     assert {r.tile for r in got} == {"0", "1"}
+    from odflow.sources.shapefile import read_shapefile
+
+    assert read_shapefile(spark, str(d / "tessellation_made.shp"), "tile_ID").count() == 6
     config, folder = cli.parse(run)
     state = cli.train_model(spark, dataclasses.replace(config, dim_dests=2, epochs=2), folder)
     assert state.layers[0][0].shape == (1, 7)
@@ -270,7 +342,67 @@ def test_query_against_duckdb(spark, name):
     assert normal([tuple(r) for r in df.collect()], df.columns) == normal(found.fetchall(), names)
 
 
+def numpy_inputs(spark):
+    """Flows t and inputs of all origins' pairs, and those of the net."""
+    from odflow.plans import bindings
+
+    rows = bindings.pairs(spark, SF, vectors=True).orderBy("origin", "destination").collect()
+    t = np.array([r.t for r in rows], float)
+    origin = np.array([r.origin for r in rows])
+    d_pop, o_pop, dist = (np.array([r[c] for r in rows]) for c in ("d_pop", "o_pop", "dist"))
+    return rows, origin, t, np.log(o_pop), np.log(d_pop), dist
+
+
+def choice(origin, t, score):
+    """(loss, error by pair) of a multinomial choice."""
+    loss, error = 0.0, np.zeros(len(t))
+    for o in sorted(set(origin)):
+        m = origin == o
+        e = np.exp(score[m] - score[m].max())
+        p = e / e.sum()
+        loss -= (t[m] * np.log(p)).sum()
+        error[m] = t[m].sum() * p - t[m]
+    return loss, error
+
+
+@needs_tables
+def test_training_queries_against_numpy(spark):
+    _, origin, t, _, ln_d, dist = numpy_inputs(spark)
+    x = np.c_[ln_d, dist / 1000]
+    values, losses, optimizer = np.zeros(3), [], linear.RmsProp(3, 0.01, 0.9)
+    for _ in range(4):
+        loss, error = choice(origin, t, x @ values[:2] + values[2])
+        losses.append(loss)
+        values = optimizer.step(values, np.r_[x.T @ error, error.sum()])
+    got = {r.parameter: r.value for r in QUERIES["train_linear"](spark, SF).collect()}
+    assert [got[k] for k in (0, 1)] == pytest.approx(values[:2].tolist(), abs=1e-5)
+    assert [r.loss for r in QUERIES["train_log"](spark, SF).orderBy("epoch").collect()] == pytest.approx(losses, rel=1e-6)
+
+
 @needs_tables
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_query_without_sql(spark, name):
-    assert QUERIES[name](spark, SF).count() > 0
+def test_nets_against_numpy(spark):
+    from odflow.plans.model_queries import _small_layers
+
+    rows, origin, t, ln_o, ln_d, dist = numpy_inputs(spark)
+    small, x = _small_layers(), np.c_[ln_o, ln_d, dist / 1000]
+    loss, error = choice(origin, t, mlp.forward(x, small)[-1][:, 0])
+    hidden = x @ small[0][0].T + small[0][1]
+    act = np.where(hidden > 0, hidden, 0.01 * hidden)
+    g1 = (error[:, None] * small[1][0] * np.where(hidden > 0, 1, 0.01)).T @ x
+    got = {r.layer: r for r in QUERIES["train_mlp_step"](spark, SF).collect()}
+    assert got[0].loss == pytest.approx(loss, abs=1e-2)
+    assert got[0].size == pytest.approx(np.abs(g1).sum(), rel=1e-5) and got[1].size == pytest.approx(np.abs(error @ act).sum(), rel=1e-5)
+    wide = np.array([[*r.o_x, *r.d_x, r.dist] for r in rows])
+    want = wide * 0
+    want = np.sign(wide) * np.log1p(np.abs(wide))
+    for w, v in mlp.create("deep", 13):
+        want = want @ w.T + v
+        want = np.where(want > 0, want, 0.01 * want) if len(v) > 1 else want
+    full = {(r.origin, r.destination): r.score for r in QUERIES["mlp_full"](spark, SF).collect()}
+    assert [full[r.origin, r.destination] for r in rows] == pytest.approx(want[:, 0].tolist(), abs=2e-6)
+    layers = mlp.create("deep", 13, 16)
+    assert sorted((r.layer, r.outputs, r.inputs, r.total) for r in QUERIES["model_roundtrip"](spark, SF).collect()) == [(k, *w.shape, pytest.approx(float(w.sum() + v.sum()), abs=1e-6)) for k, (w, v) in enumerate(layers)]
+    losses = [r.loss for r in QUERIES["train_mlp"](spark, SF).orderBy("epoch").collect()]
+    assert len(losses) == 4 and losses[-1] < losses[0]
+    text = QUERIES["centroid_text"](spark, SF).collect()
+    assert all(r.centroid == f"[{r.parsed[0]},{r.parsed[1]}]" for r in text)
