@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import secrets
 import sys
 import tempfile
 import types
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,10 +78,23 @@ def buckets_for(df: DataFrame, bytes_each: int, least: int = 32) -> int:
     return max(least, -(-input_bytes(df) // bytes_each))
 
 
+def runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of a sorted array, and the edges of their runs."""
+    begin = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(sorted_) else np.empty(0, np.int64)
+    return sorted_[begin], np.r_[begin, len(sorted_)].astype(np.int64)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def private_key(spark: SparkSession) -> str:
+    """The key of pseudonyms: spark.odflow.private.key, else one that is drawn for the session and never written down."""
+    if not spark.conf.get("spark.odflow.private.key", None):
+        spark.conf.set("spark.odflow.private.key", secrets.token_hex(32))
+    return spark.conf.get("spark.odflow.private.key")
+
+
 def once_a_worker(name: str, make: Callable):
     """make()'s result, kept for all tasks that the Python worker runs; functions that travel by value have no globals that last."""
     kept = sys.modules.setdefault("_odflow_worker", types.ModuleType("_odflow_worker")).__dict__

@@ -4,7 +4,7 @@ All of it is DataFrame expressions. A text is split at candidate matches; each i
 validated, permuted and put back, so equal values get equal pseudonyms in all
 documents, and a permutation never maps two values to one. Card numbers keep a
 valid check digit, IBANs valid check digits, addresses stay IPv4, dates stay dates
-from 1900 to 2099. Mail addresses and secrets, which have no fixed format, get a
+from 1900 to 2099, in digits or with an English month's name. Mail addresses and secrets, which have no fixed format, get a
 keyed hash in their alphabet.
 """
 
@@ -13,13 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, refuse
 
 ROUNDS = 10
 DATE_SIDE = 270  # dates are pairs of numbers below it: 72,900 days from 1900-01-01
 KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card", "secret")
 
-_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+# Groups that repeat without a bound are possessive: Java matches those in a loop, all others by recursion, which a long text drives out of the stack.
+_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 #: Lengths of IBANs by country.
 _IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
@@ -29,6 +30,9 @@ _OF_COUNTRY = "|".join(f"(?:{c.replace(' ', '|')})\\d{{2}}(?: ?[A-Z0-9]{{4}}){{{
 _IBAN = rf"\b(?=[A-Z]{{2}}\d{{2}})(?:(?:{_OF_COUNTRY})\b|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?\b)"
 _IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 _DATE = r"(?<![\d/.-])(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})(?![-/]?\d)"
+#: Names of months, in calendar order.
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+_WRITTEN = rf"\b\d{{1,2}} (?:{'|'.join(MONTHS)}) \d{{4}}(?!\d)|\b(?:{'|'.join(MONTHS)}) \d{{1,2}}, \d{{4}}(?!\d)"
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 _PHONE = "|".join((
     r"(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
@@ -41,8 +45,8 @@ _PHONE = "|".join((
 ))
 _CARD = r"(?<!\d)(?:\d{13,19}|\d{4}(?: \d{4}){3}(?: \d{3})?|\d{4}(?:-\d{4}){3}(?:-\d{3})?|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)"
 _SET = r"[\"']?[ \t]{0,2}[=:][ \t]{0,2}[\"']?"
-_SECRET = rf"\bAKIA[A-Z0-9]{{16}}\b|(?i:\b(?:password|passwd|pwd|secret|api[_-]?key|token){_SET})[^\s\"']+|\b[0-9A-Fa-f]{{40}}\b"
-_CANDIDATE = "|".join((_EMAIL, _SECRET, _IBAN, _IP, _DATE, _SSN, _PHONE, _CARD))
+_SECRET = rf"\bAKIA[A-Z0-9]{{16}}\b|(?i:\b(?:password|passwd|pwd|secret|api[_-]?key|token){_SET})[^\s\"']+|\b[0-9A-Fa-f]{{40}}\b|\b(?:sk|pk|rk)-[A-Za-z0-9_-]{{16,}}|\bgh[opsu]_[A-Za-z0-9]{{16,}}"
+_CANDIDATE = "|".join((_EMAIL, _SECRET, _IBAN, _IP, _DATE, _WRITTEN, _SSN, _PHONE, _CARD))
 
 
 def _digest(key: str, *parts: Column) -> Column:
@@ -138,6 +142,28 @@ def ip(value: Column, key: str) -> Column:
     return let(F.transform(F.split(value, r"\."), lambda o: o.cast("int")), of)
 
 
+def _new_day(day: Column, key: str) -> Column:
+    """The day's pseudonym, null for days that are null or out of range."""
+    n = F.datediff(day, F.lit("1900-01-01").cast("date"))
+    new = let(permute_pair((n / DATE_SIDE).cast("int"), F.pmod(n, F.lit(DATE_SIDE)), DATE_SIDE, key, "date"), lambda p: F.date_add(F.lit("1900-01-01").cast("date"), (p["a"] * DATE_SIDE + p["b"]).cast("int")))
+    return F.when(n.between(0, DATE_SIDE * DATE_SIDE - 1), new)
+
+
+def written(value: Column, key: str) -> Column:
+    """A date with its month's name, day first or month first; it has the pseudonym of the same day in digits."""
+
+    def of(parts: Column) -> Column:
+        at = lambda i: F.get(parts, F.lit(i))
+        day_first = at(0).rlike("^[0-9]")
+        name, day = F.when(day_first, at(1)).otherwise(at(0)), F.when(day_first, at(0)).otherwise(at(1))
+        names = F.array(*[F.lit(m) for m in MONTHS])
+        found = F.try_to_date(F.concat_ws("-", at(2), F.lpad(F.array_position(names, name).cast("string"), 2, "0"), F.lpad(day, 2, "0")))
+        shown = lambda d: F.when(day_first, F.concat_ws(" ", F.dayofmonth(d).cast("string"), F.get(names, F.month(d) - 1), F.year(d).cast("string"))).otherwise(F.concat(F.get(names, F.month(d) - 1), F.lit(" "), F.dayofmonth(d).cast("string"), F.lit(", "), F.year(d).cast("string")))
+        return let(_new_day(found, key), lambda d: F.when(d.isNotNull(), shown(d)).otherwise(value))
+
+    return let(F.split(value, "[, ]+"), of)
+
+
 def date(value: Column, key: str) -> Column:
     """Year first, or year last with the day first where that is a date, else the month first; separators and widths stay."""
 
@@ -149,12 +175,11 @@ def date(value: Column, key: str) -> Column:
         found = F.when(year_first, make(at(0), at(1), at(2))).otherwise(F.coalesce(day_first, make(at(2), at(0), at(1))))
 
         def shown(x: Column) -> Column:
-            n = F.datediff(x["date"], F.lit("1900-01-01").cast("date"))
-            new = let(permute_pair((n / DATE_SIDE).cast("int"), F.pmod(n, F.lit(DATE_SIDE)), DATE_SIDE, key, "date"), lambda p: F.date_add(F.lit("1900-01-01").cast("date"), (p["a"] * DATE_SIDE + p["b"]).cast("int")))
+            new = _new_day(x["date"], key)
             pattern = F.when(year_first, "yyyyMMdd").when(x["day_first"], "ddMMyyyy").otherwise("MMddyyyy")
             digits = F.when(pattern == "yyyyMMdd", F.date_format(new, "yyyyMMdd")).when(pattern == "ddMMyyyy", F.date_format(new, "ddMMyyyy")).otherwise(F.date_format(new, "MMddyyyy"))
             wide = F.when(year_first, F.concat(at(0), F.regexp_extract(value, "[-/.]", 0), F.lit("00"), F.regexp_extract(value, "[-/.]", 0), F.lit("00"))).otherwise(F.concat(F.lit("00"), F.regexp_extract(value, "[-/.]", 0), F.lit("00"), F.regexp_extract(value, "[-/.]", 0), at(2)))
-            return F.when(x["date"].isNotNull() & n.between(0, DATE_SIDE * DATE_SIDE - 1), _put(wide, digits)).otherwise(value)
+            return F.when(new.isNotNull(), _put(wide, digits)).otherwise(value)
 
         return let(F.struct(found.alias("date"), day_first.isNotNull().alias("day_first")), shown)
 
@@ -183,13 +208,13 @@ def email(value: Column, key: str) -> Column:
 
 
 def secret(value: Column, key: str) -> Column:
-    """Of the same alphabet and length (up to 64); the name, = or : and the quote before it stay. Hex digits are one value in either case."""
-    name = F.regexp_extract(value, f"^[A-Za-z_-]+{_SET}", 0)
+    """Of the same length, in hex digits or capitals; the name, = or : and the quote before it stay, as do sk-, ghp_ and the like. Hex digits are one value in either case."""
+    name = F.regexp_extract(value, f"^(?:[A-Za-z_-]+{_SET}|(?:sk|pk|rk)-|gh[opsu]_)", 0)
     bare = F.substr(value, F.length(name) + 1)
     hexes = bare.rlike("^[0-9A-Fa-f]{40}$")
     h = _digest(key, F.lit("secret"), F.when(hexes, F.lower(bare)).otherwise(bare))
     access = F.concat(F.lit("AKIA"), F.translate(F.substring(h, 1, 16), "0123456789abcdef", "ABCDEFGHIJ234567"))
-    made = F.substr(F.when(hexes & (bare == F.upper(bare)) & bare.rlike("[A-F]"), F.upper(h)).otherwise(h), F.lit(1), F.length(bare))
+    made = let(F.when(hexes & (bare == F.upper(bare)) & bare.rlike("[A-F]"), F.upper(h)).otherwise(h), lambda x: F.rpad(x, F.length(bare), x))
     return F.when(value.rlike("^AKIA[A-Z0-9]{16}$"), access).otherwise(F.concat(name, made))
 
 
@@ -198,28 +223,32 @@ def _kind(value: Column) -> Column:
     whole = lambda p: value.rlike(f"^(?:{p})$")
     return (
         F.when(value.contains("@") & whole(_EMAIL), "email").when(whole(_SECRET), "secret").when(whole(_IBAN), "iban").when(whole(_IP), "ip")
-        .when(whole(_DATE), "date").when(whole(_SSN), "ssn").when(whole(_PHONE), "phone").otherwise("card")
+        .when(whole(_DATE), "date").when(whole(_WRITTEN), "written").when(whole(_SSN), "ssn").when(whole(_PHONE), "phone").otherwise("card")
     )
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", *, key: str = "odflow", kinds: tuple[str, ...] = KINDS) -> DataFrame:
+def pseudonymise(docs: DataFrame, text_col: str = "text", *, key: str, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """docs with private values in text_col replaced, and _found: the count of each kind that was.
 
-    A null text stays null, an empty one empty. A value that is not valid (a number
-    without its check digit, an octet over 255, a day that no month has or out of
-    1900 to 2099) stays as it is. Repeated rows change alike; other columns stay,
-    whatever their names but _found.
+    Whoever has the key can undo the permutations; keep it, and event logs, which hold
+    the plan with it, as safe as the texts. A null text stays null, an empty one empty.
+    A value that is not valid (a number without its check digit, an octet over 255, a
+    day that no month has or out of 1900 to 2099) stays as it is. Repeated rows change
+    alike; other columns stay, of which none may be called _found (ValueError).
     """
+    refuse(docs, "_found")
+    if not key:
+        raise ValueError("pseudonyms need a key")
     make = {"email": email, "iban": iban, "ip": ip, "date": date, "ssn": ssn, "phone": phone, "card": card, "secret": secret}
     text = F.col(text_col)
 
     def one(value: Column, kind: Column) -> Column:
-        out = None
+        out = F.when(kind == "written", written(value, key)) if "date" in kinds else F.when(F.lit(False), value)
         for k in kinds:
-            out = F.when(kind == k, make[k](value, key)) if out is None else out.when(kind == k, make[k](value, key))
+            out = out.when(kind == k, make[k](value, key))
         return out.otherwise(value)
 
-    found = F.transform(F.regexp_extract_all(text, F.lit(_CANDIDATE), F.lit(0)), lambda m: let(_kind(m), lambda k: F.struct(m.alias("old"), k.alias("kind"), one(m, k).alias("new"))))
+    found = F.transform(F.regexp_extract_all(text, F.lit(_CANDIDATE), F.lit(0)), lambda m: let(_kind(m), lambda k: F.struct(m.alias("old"), F.when(k == "written", "date").otherwise(k).alias("kind"), one(m, k).alias("new"))))
     gaps = F.split(text, _CANDIDATE, -1)
 
     def changed(f: Column) -> Column:
@@ -229,7 +258,7 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", *, key: str = "odflow"
         return F.struct(joined.alias("text"), counts.alias("found"))
 
     none = F.struct(text.cast("string").alias("text"), F.struct(*[F.lit(0).cast("long").alias(k) for k in kinds]).alias("found"))
-    result = F.when(text.rlike("[0-9@=:]|AKIA"), let(found, lambda f: F.when(F.size(f) > 0, changed(f)).otherwise(none))).otherwise(none)
+    result = F.when(text.rlike("[0-9@=:]|AKIA|sk-|pk-|rk-|gh[opsu]_"), let(found, lambda f: F.when(F.size(f) > 0, changed(f)).otherwise(none))).otherwise(none)
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), result.alias("_made"))
     names = [F.col("_made.text").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns]
     return out.select(*names, F.col("_made.found").alias("_found"))

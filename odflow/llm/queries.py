@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import private_key, table
 from .context_mixing import score_texts
 from .mixing import mix
 from .packing import pack
@@ -30,7 +30,7 @@ def op2_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_private_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", *[F.col(f"_found.{k}").alias(f"n_{k}") for k in KINDS])
+    return pseudonymise(table(spark, sf_dir, "documents"), key=private_key(spark)).select("doc_id", "text", *[F.col(f"_found.{k}").alias(f"n_{k}") for k in KINDS])
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

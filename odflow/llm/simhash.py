@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, cut, tidy
+from .common import buckets_for, cut, runs, tidy
 from .components import components
 
 BITS, NEAR, SEGMENTS = 64, 4, 3
@@ -91,10 +91,9 @@ def _expand(buckets: int):
             bucket = (key >> np.uint64(20)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             key, used, bit, fp = key[order], used[order], bit[order], fp[order]
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-            full = np.flatnonzero(np.diff(cuts)).tolist()
-            cols = [pa.array([c[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()) for c in (key, used, bit, fp)]
-            yield pa.record_batch([pa.array(full, pa.int64()), *cols], names=["bucket", "keys", "masks", "bits", "fps"])
+            full, cuts = runs(bucket[order])
+            cols = [pa.array([c[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()) for c in (key, used, bit, fp)]
+            yield pa.record_batch([pa.array(full.astype(np.int64)), *cols], names=["bucket", "keys", "masks", "bits", "fps"])
 
     return run
 

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, cut
+from .common import buckets_for, cut, runs, tidy
 from .suffix_array import common_at_least, suffix_array
 
 LENGTH, GRAM = 50, 25  # bytes of a repeat; of an anchor
@@ -39,6 +39,7 @@ SPAN = 2 * LENGTH - GRAM  # bytes around an anchor that its windows touch
 SYMBOL = 5  # bytes of a suffix-array symbol
 SIDE = GRAM // SYMBOL  # symbols on each side of the anchor, which is one symbol
 BLOCK_BYTES = 4 << 20
+PIECE = 8 << 20  # bytes whose hashes are formed at a time
 _SIDES = np.r_[np.arange(GRAM), np.arange(2 * GRAM, SPAN)]  # what is sent of those: the anchor's hash stands for its bytes
 NO_ID = (1 << 63) - 1  # a null id counts as larger than all ids
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -81,7 +82,21 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _anchors(data: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of anchors in the joined bytes of a block's documents, and their hashes (odd numbers)."""
+    """Positions of anchors in the joined bytes of a block's documents, and their hashes (odd numbers); a long text goes piece by piece, with what its windows overlap."""
+    n, ends = len(data), np.cumsum(lens)
+    if n <= PIECE + 2 * SPAN:
+        return _anchors_of(data, np.repeat(ends, lens))
+    found = []
+    for a in range(0, n, PIECE):
+        low, high = max(0, a - SPAN), min(n, a + PIECE + SPAN)
+        at, r = _anchors_of(data[low:high], ends[np.searchsorted(ends, np.arange(low, high), side="right")] - low)
+        mine = (at + low >= a) & (at + low < a + PIECE)
+        found.append((at[mine] + low, r[mine]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _anchors_of(data: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As _anchors, of one piece; end is of each byte's document."""
     n = len(data)
     if n < LENGTH:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -92,7 +107,6 @@ def _anchors(data: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray
         w *= 2
     m = n - GRAM + 1
     r = _mix(h[:m] + h[GRAM - w : GRAM - w + m] * _A) | np.uint64(1)
-    end = np.repeat(np.cumsum(lens), lens)  # of each byte's document
     low = r
     w = 1
     while w * 2 <= STEPS:
@@ -112,14 +126,14 @@ def _anchors(data: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, r[at]
 
 
-def _bucketed(hashes: np.ndarray, docs: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Unique (bucket, low half) keys of a block in order, in how many documents each is, its inverse, and bucket edges."""
+def _bucketed(hashes: np.ndarray, docs: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Unique (bucket, low half) keys of a block in order, in how many documents each is, its inverse, the buckets and their edges."""
     key = ((hashes >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | (hashes & np.uint64(0xFFFFFFFF))
     unique, inverse = np.unique(key, return_inverse=True)
     pairs = np.unique(inverse.astype(np.int64) << 32 | docs)
     count = np.bincount(pairs >> 32, minlength=len(unique))
-    edges = np.searchsorted(unique >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
-    return unique, count, inverse, edges
+    used, edges = runs(unique >> np.uint64(32))
+    return unique, count, inverse, used.astype(np.int64), edges
 
 
 def _hashes(buckets: int):
@@ -129,14 +143,13 @@ def _hashes(buckets: int):
                 x = _unpack(blob)
                 at, h = _anchors(x["data"], x["lens"])
                 doc = np.repeat(np.arange(len(x["lens"])), x["lens"])[at]
-                unique, count, _, edges = _bucketed(h, doc, buckets)
-                used = np.flatnonzero(np.diff(edges)).tolist()
+                unique, count, _, used, edges = _bucketed(h, doc, buckets)
                 low, few = (unique & np.uint64(0xFFFFFFFF)).astype("<u4"), np.minimum(count, 65535).astype("<u2")
                 yield pa.record_batch({
                     "bucket": pa.array(used, pa.int64()),
                     "block": pa.array([block] * len(used), pa.int64()),
-                    "low": pa.array([low[edges[b] : edges[b + 1]].tobytes() for b in used], pa.binary()),
-                    "docs": pa.array([few[edges[b] : edges[b + 1]].tobytes() for b in used], pa.binary()),
+                    "low": pa.array([low[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary()),
+                    "docs": pa.array([few[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary()),
                 })
 
     return run
@@ -204,49 +217,56 @@ def _send(buckets: int):
         at, h = _anchors(data, lens)
         ends = np.cumsum(lens)
         doc = np.repeat(np.arange(len(lens)), lens)[at]
-        _, _, inverse, edges = _bucketed(h, doc, buckets)
+        _, _, inverse, used, edges = _bucketed(h, doc, buckets)
         flag = np.zeros(edges[-1], np.uint8)
-        for b, f in zip(flags.column("bucket").to_pylist(), flags.column("flags").to_pylist(), strict=True):
-            flag[edges[b] : edges[b + 1]] = np.frombuffer(f, np.uint8)
+        for k, f in zip(np.searchsorted(used, flags.column("bucket").to_numpy()).tolist(), flags.column("flags").to_pylist(), strict=True):
+            flag[edges[k] : edges[k + 1]] = np.frombuffer(f, np.uint8)
         flag = flag[inverse]
         keep = flag > 0
         at, h, doc, flag = at[keep], h[keep], doc[keep], flag[keep]
         out: list[tuple[int, str, bytes]] = []
         covered = []
         step = 1 << 16
-        kept = []
-        for a in range(0, len(at), step):
+        kept, which, n = [], [], 0
+        for a in range(0, len(at), step):  # of equal surroundings side by side one copy is held
             s = slice(a, a + step)
             rows, left, right = _around(data, at[s], (ends - lens)[doc[s]], ends[doc[s]])
-            kept.append((rows, left.astype(np.uint8), right.astype(np.uint8), _hash_rows(rows, left, right)))
+            whole = _hash_rows(rows, left, right)
+            _, first, inverse = np.unique(whole ^ h[s] * _C, return_index=True, return_inverse=True)
+            kept.append((rows[first], left[first].astype(np.uint8), right[first].astype(np.uint8), whole[first]))
+            which.append(inverse + n)
+            n += len(first)
         if kept:
             rows, left, right, whole = (np.concatenate(c) for c in zip(*kept, strict=True))
+            which = np.concatenate(which)
             own, pos = ids[doc], at - (ends - lens)[doc]
-            later = own > _least((h, whole), own)
-            covered.append(np.c_[doc, pos - left, pos + right][later])
+            later = own > _least((h, whole[which]), own)
+            covered.append(np.c_[doc, pos - left[which], pos + right[which]][later])
             here = ~later & (flag == 1)
             b = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             order = np.flatnonzero(here)[np.argsort(b[here], kind="stable")]
-            cuts = np.searchsorted(b[order], np.arange(buckets + 1))
-            for k in np.flatnonzero(np.diff(cuts)).tolist():
-                o = order[cuts[k] : cuts[k + 1]]
-                out.append((k, "around", _pack(h=h[o], ids=own[o], doc=doc[o].astype(np.int32), pos=pos[o].astype(np.int64), left=left[o], right=right[o], rows=rows[o][:, _SIDES])))
+            full, cuts = runs(b[order])
+            for k, begin, end in zip(full.tolist(), cuts, cuts[1:], strict=False):
+                o = order[begin:end]
+                u, at_u = np.unique(which[o], return_inverse=True)
+                out.append((k, "around", _pack(h=h[o], ids=own[o], doc=doc[o].astype(np.int32), pos=pos[o].astype(np.int64), which=at_u.astype(np.int32), left=left[u], right=right[u], rows=rows[u][:, _SIDES])))
             warm = np.flatnonzero(~later & (flag == 2))
             if len(warm):
-                which, step_no = (c.ravel() for c in np.meshgrid(warm, np.arange(STEPS), indexing="ij"))
-                fits = (step_no >= GRAM - left[which]) & (step_no + LENGTH <= GRAM + right[which].astype(np.int64))
-                which, step_no = which[fits], step_no[fits]
-                win = np.concatenate([_hash_rows(rows[which[a : a + step, None], step_no[a : a + step, None] + np.arange(LENGTH)]) for a in range(0, len(which), step)])
-                wid, wdoc, wstart = own[which], doc[which], pos[which] - GRAM + step_no
-                tag = h[which] + step_no.astype(np.uint64)
+                spot, step_no = (c.ravel() for c in np.meshgrid(warm, np.arange(STEPS), indexing="ij"))
+                of = which[spot]
+                fits = (step_no >= GRAM - left[of]) & (step_no + LENGTH <= GRAM + right[of].astype(np.int64))
+                spot, of, step_no = spot[fits], of[fits], step_no[fits]
+                win = np.concatenate([_hash_rows(rows[of[a : a + step, None], step_no[a : a + step, None] + np.arange(LENGTH)]) for a in range(0, len(of), step)])
+                wid, wdoc, wstart = own[spot], doc[spot], pos[spot] - GRAM + step_no
+                tag = h[spot] + step_no.astype(np.uint64)
                 later = wid > _least((win, tag), wid)
                 covered.append(np.c_[wdoc, wstart, wstart + LENGTH][later])
                 o = np.flatnonzero(~later)
                 b = (_mix(win) % np.uint64(buckets)).astype(np.int64)
                 o = o[np.argsort(b[o], kind="stable")]
-                cuts = np.searchsorted(b[o], np.arange(buckets + 1))
-                for k in np.flatnonzero(np.diff(cuts)).tolist():
-                    i = o[cuts[k] : cuts[k + 1]]
+                full, cuts = runs(b[o])
+                for k, begin, end in zip(full.tolist(), cuts, cuts[1:], strict=False):
+                    i = o[begin:end]
                     out.append((buckets + k, "window", _pack(win=win[i], tag=tag[i], ids=wid[i], doc=wdoc[i].astype(np.int32), start=wstart[i])))
         ranges = _union(np.concatenate(covered)) if covered else np.empty((0, 3), np.int64)
         if len(ranges):
@@ -276,7 +296,8 @@ def _compare(rows: pa.Table) -> pa.Table:
     if kind == "covered":
         found = [(b, p["ranges"]) for b, p in zip(blocks, parts, strict=True)]
     else:
-        x = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+        base = np.cumsum([0] + [len(p["rows"]) for p in parts[:-1]]) if kind == "around" else None
+        x = {k: np.concatenate([p[k] + base[j] if k == "which" else p[k] for j, p in enumerate(parts)]) for k in parts[0]}
         home = np.repeat(np.arange(len(parts)), [len(p["ids"]) for p in parts])
         if kind == "window":
             late = x["ids"] > _least((x["win"], x["tag"]), x["ids"])
@@ -292,8 +313,9 @@ def _compare(rows: pa.Table) -> pa.Table:
 
 def _covered_around(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of surroundings, and the range of each that earlier documents hold."""
-    ids, pos, left, right = x["ids"], x["pos"], x["left"].astype(np.int64), x["right"].astype(np.int64)
-    whole = _hash_rows(x["rows"], x["left"], x["right"])
+    ids, pos, which = x["ids"], x["pos"], x["which"]
+    left, right = x["left"].astype(np.int64)[which], x["right"].astype(np.int64)[which]
+    whole = _hash_rows(x["rows"], x["left"], x["right"])[which]
     least = _least((x["h"], whole), ids)
     late = np.flatnonzero(ids > least)
     order = np.lexsort((ids, whole, x["h"]))
@@ -314,7 +336,7 @@ def _covered_around(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, n
             b += 1
         these = open_[edges[a] : edges[b] if b < len(edges) else len(open_)]
         r = head[these]
-        low[these], high[these] = _windows(_whole(x["rows"][r]), left[r], right[r], group[these], ids[r])
+        low[these], high[these] = _windows(_whole(x["rows"][which[r]]), left[r], right[r], group[these], ids[r])
         a = b
     rest = np.flatnonzero((ids == least) & (high[class_of] >= 0))
     c = class_of[rest]

@@ -178,10 +178,12 @@ def write_archives(pages: DataFrame, folder: str | None = None, *, id_col: str =
     fs.create_dir(place, recursive=True)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1("html")).withColumn("size", F.octet_length("html"))
-    first = rows.where(F.col("size") >= least_bytes).groupBy("sha", "size").agg(F.min("page_id").alias("first"))
-    joined = rows.join(first, ["sha", "size"], "left")
+    rows = rows.withColumn("label", F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    first = cut(rows.where(F.col("size") >= least_bytes).groupBy("sha", "size").agg(F.min("page_id").alias("first")), "first")
+    # a page with very many copies is a hot digest: what is joined by it is narrow, pages go by their own id as well
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))
-    ready = joined.select("page_id", "url", "html", refers.alias("refers_to"))
+    revisits = rows.select("label", "page_id", "sha", "size").join(first, ["sha", "size"]).select("label", "sha", refers.alias("refers_to")).where("refers_to is not null").distinct()
+    ready = rows.join(cut(revisits, "revisits"), ["label", "sha"], "left").select("page_id", "url", "html", "refers_to")
     return cut(ready.mapInArrow(_writer(folder, frame_bytes, bundle_bytes, level, date), INDEX), "warc-index")
 
 

@@ -49,7 +49,7 @@ def slow_rules(rows):
         windows = [tuple(words[i : i + 8]) for i in range(n - 7)]
         count = Counter(windows)
         repeated = len({i + k for i, w in enumerate(windows) if count[w] > 1 for k in range(8)})
-        often = lambda x: norm(x) and seen[r["source"]][norm(x)] > max(10, 0.01 * len(texts[r["source"]]))  # noqa: E731, B023
+        often = lambda x: norm(x) and seen[r["source"]][norm(x)] > 10  # noqa: E731, B023
         left = [x for x in text.split("\n") if not often(x)]
         kept_words = sum(len(WORD.findall(x)) for x in left)
         if n >= 20 and 100 * repeated <= 30 * n and (len(left) == len(text.split("\n")) or kept_words >= 0.3 * n):
@@ -57,25 +57,24 @@ def slow_rules(rows):
     return sorted(out)
 
 
-def slow_dedup(rows):
-    """Ids that stay: the smallest of each component of fingerprints of five-word shingles."""
-    import xxhash
+def slow_mixture(spark, rows):
+    """Ids of the rows that are drawn, by topics, cells and probabilities of loops."""
+    from test_operators import slow_topics
 
-    prints = {}
-    for r in rows:
-        words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r["text"] or ""))
-        shingles = [" ".join(words[i : i + 5]) for i in range(len(words) - 4)] or [" ".join(words)] * bool(words)
-        h = np.array([xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles], np.uint64)
-        prints[r["doc_id"]] = sum(1 << b for b in range(64) if 2 * int((h >> np.uint64(b) & np.uint64(1)).sum()) > len(h)) if words else 0
-    left, keep = sorted(prints), []
-    while left:
-        edge, left = [left[0]], left[1:]
-        keep.append(edge[0])
-        while edge:
-            x = prints[edge.pop()]
-            near = [i for i in left if (prints[i] ^ x).bit_count() <= 4]
-            edge, left = edge + near, [i for i in left if i not in set(near)]
-    return keep
+    from odflow.llm.mixing import probabilities
+    from odflow.llm.queries import TARGETS
+
+    languages = [*TARGETS["lang"], None]
+    number = [languages.index(r["lang"]) if r["lang"] in TARGETS["lang"] else 4 for r in rows]
+    topics = slow_topics([(r["text"], n) for r, n in zip(rows, number)], 5)
+    cell = [(0 if r["source"] == "src0" else 1, n, int(t[1:])) for r, n, t in zip(rows, number, topics)]
+    seen = np.zeros((2, 5, 9))
+    for r, c in zip(rows, cell):
+        seen[c] += len((r["text"] or "").split())
+    wanted = [np.array([0.3, 0.7]), np.array([0.6, 0.15, 0.15, 0.1, 0.0]), np.array([0.125] * 8 + [0.0])]
+    chance = probabilities(seen, wanted)
+    drawn = spark.createDataFrame([(i, r["doc_id"], r["text"]) for i, r in enumerate(rows)], "i long, id long, text string").selectExpr("i", "shiftrightunsigned(xxhash64(cast(id as string), text, 17), 11) / double(9007199254740992) as u").collect()
+    return sorted(rows[r.i]["doc_id"] for r in drawn if r.u < chance[cell[r.i]])
 
 
 def slow_ids(rows):
@@ -90,19 +89,28 @@ def slow_ids(rows):
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 def test_stages_against_brute_force(spark):
-    """Rules, near-duplicates and packing as a whole; the pseudonyms and the mixture by what they must leave alone."""
+    """Every stage on its own input, by loops over its rows."""
+    from test_near_copies import check_kept
+    from test_privacy_formats import KEY, new_texts, slow_text, sure_kind
+
+    import regex  # noqa: F811
+    from odflow.llm import privacy
     from odflow.llm.common import cut, table
 
+    spark.conf.set("spark.odflow.private.key", KEY)
     stages, docs = dict(corpus_pipeline.STAGES), table(spark, SF, "documents")
     rows = lambda d: [r.asDict() for r in d.collect()]
     ruled = cut(stages["quality_rules"](spark, docs, SF), "t")
     assert sorted((r["doc_id"], r["text"]) for r in rows(ruled)) == slow_rules(rows(docs))
     alone = cut(stages["simhash_near_dedup"](spark, ruled, SF), "t")
-    assert sorted(r["doc_id"] for r in rows(alone)) == slow_dedup(rows(ruled))
+    check_kept([(r["doc_id"], r["text"]) for r in rows(ruled)], [r["doc_id"] for r in rows(alone)])
     private = cut(stages["private_pseudonyms"](spark, alone, SF), "t")
     before, after = ({r["doc_id"]: r["text"] for r in rows(d)} for d in (alone, private))
-    assert before.keys() == after.keys() and all(before[i] == t for i, t in after.items() if not re.search("[0-9@=:]|AKIA", before[i]))
+    others = sorted({m[0] for t in before.values() for m in regex.finditer(privacy._CANDIDATE, t, flags=regex.ASCII) if not sure_kind(m[0])})
+    new_of = dict(zip(others, (t for t, _ in new_texts(spark, others)), strict=True)) if others else {}
+    assert after == {i: slow_text(t, new_of.__getitem__) for i, t in before.items()} and after != before
     mixed = cut(stages["source_mixing"](spark, private, SF), "t")
+    assert sorted(r["doc_id"] for r in rows(mixed)) == slow_mixture(spark, rows(private))
     assert all(after[r["doc_id"]] == r["text"] for r in rows(mixed))
     ids, taken = slow_ids(rows(mixed)), []
     for r in rows(stages["packing"](spark, mixed, SF)):
@@ -112,6 +120,30 @@ def test_stages_against_brute_force(spark):
     assert sorted(taken) == list(range(sum(map(len, ids.values()))))
 
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, `band` string, place string, label string, host string, h string, page string, tokens string, topic string, language string, part string, _row string"
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_rows(spark, name):
+    """Nulls in all columns, empty and very long texts, repeated rows and ids, columns named like those within, and no rows at all."""
+    prose = " ".join(f"word{k % 83}x{k % 7}" for k in range(200))
+    rows = [(1, prose, "en", "src0"), (1, prose, "en", "src0"), (1, prose[300:] + " the end", "de", None), (None, prose + " more", None, "src1"), (None, None, None, None), (2, None, "xx", "src2"), (3, "", "en", "src0"), (4, " \n\t", "en", "src0"), (5, "long " + prose * 60, "fr", "src0"), (6, "x" * 300_000, "es", "src0")]
+    rows = [(*r, None if r[1] is None else len(r[1]), *["clash"] * 11) for r in rows]
+    rows.append((None,) * 16)
+    stage = dict(corpus_pipeline.STAGES)[name]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = stage(spark, df.repartition(2), SF)
+    found = got.collect()
+    if name == "packing":
+        assert sum(r.length for r in found) == sum(r.doc_tokens for r in found if r.start == 0)
+        assert sum(r.start == 0 for r in found) == len(rows)
+    else:
+        assert got.columns == df.columns and {r._row for r in found} <= {"clash", None}
+        count = {"quality_rules": 4, "simhash_near_dedup": 4, "private_pseudonyms": len(rows)}.get(name)
+        assert count is None and len(found) <= len(rows) or len(found) == count
+    assert stage(spark, df.limit(0), SF).count() == 0
+
+
 def test_nothing_else_imports_it():
     code = "import sys; sys.modules['odflow.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert 'tile_cpc' in q and not any(k.startswith('op') and k[2].isdigit() for k in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=REPO, check=True, env=os.environ | {"PYTHONPATH": REPO})
