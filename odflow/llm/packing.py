@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import cut, once_a_worker, tidy
 
 CACHE = 150_000
+MOST_PARTS = 1 << 20  # partitions whose offsets, 12 bytes each, are broadcast
 #: Separators that Python takes for white space and the tokenizer's \s does not.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: The tokenizer's pieces of a lower-cased text without characters over U+00FF.
@@ -155,10 +156,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, siz
     """
     two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     tokens = cut(two.mapInArrow(_tokenise(tokenizer or default_tokenizer(), end_id), "doc_id long, part int, at long, tokens long, ids binary"), "tokens")
-    totals = tokens.groupBy("part").agg(F.sum("tokens").alias("total"))  # one row an input partition
+    totals = cut(tokens.groupBy("part").agg(F.sum("tokens").alias("total")), "totals")  # one row an input partition
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    placed = tokens.join(F.broadcast(offsets), "part").select("doc_id", (F.col("at") + F.col("base")).alias("at"), "tokens", "ids")
+    few = totals.count() <= MOST_PARTS  # else Spark chooses the join
+    placed = tokens.join(F.broadcast(offsets) if few else offsets, "part").select("doc_id", (F.col("at") + F.col("base")).alias("at"), "tokens", "ids")
     return placed.mapInArrow(_cut(size, with_ids), PIECES + (", ids array<long>" if with_ids else ""))
 
 

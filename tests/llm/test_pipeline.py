@@ -128,8 +128,8 @@ def test_stages_on_odd_rows(spark, name):
     """Nulls in all columns, empty and very long texts, repeated rows and ids, columns named like those within, and no rows at all."""
     prose = " ".join(f"word{k % 83}x{k % 7}" for k in range(200))
     rows = [(1, prose, "en", "src0"), (1, prose, "en", "src0"), (1, prose[300:] + " the end", "de", None), (None, prose + " more", None, "src1"), (None, None, None, None), (2, None, "xx", "src2"), (3, "", "en", "src0"), (4, " \n\t", "en", "src0"), (5, "long " + prose * 60, "fr", "src0"), (6, "x" * 300_000, "es", "src0")]
-    rows = [(*r, None if r[1] is None else len(r[1]), *["clash"] * 11) for r in rows]
-    rows.append((None,) * 16)
+    rows = [(*r, None if r[1] is None else len(r[1]), *["clash"] * 12) for r in rows]
+    rows.append((None,) * 17)
     stage = dict(corpus_pipeline.STAGES)[name]
     df = spark.createDataFrame(rows, SCHEMA)
     got = stage(spark, df.repartition(2), SF)
