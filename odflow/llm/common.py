@@ -88,6 +88,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BLOOM_BITS = 1 << 26
+
+
+def with_bloom(rows: DataFrame, keys: DataFrame, bits: int = BLOOM_BITS) -> tuple[DataFrame, Column]:
+    """rows (k1: a hash, ...) with a Bloom filter of the keys' k1 joined, and whether a row's key may be among them.
+
+    The filter has one bit a key in bitmaps of 32,768 bits: 8 MB at most by default,
+    however many keys there are, so it is always broadcast. When it fills up, more rows
+    may be; none of the keys' is ever said not to be.
+    """
+    place = F.pmod("k1", F.lit(bits))
+    pages = keys.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
+    joined = rows.withColumn("page", F.bitmap_bucket_number(place)).join(F.broadcast(pages), "page", "left")
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substr("bitmap", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return joined, F.coalesce(F.call_function("shiftright", byte, F.pmod(bit, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+
+
 def private_key(spark: SparkSession) -> str:
     """The key of pseudonyms: spark.odflow.private.key, else one that is drawn for the session and never written down."""
     if not spark.conf.get("spark.odflow.private.key", None):

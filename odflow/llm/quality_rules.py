@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_RE, cut, let, refuse
+from .common import BLOOM_BITS, SPACE, SPACE_RE, cut, let, refuse, with_bloom
 
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
@@ -66,20 +66,7 @@ def _lines(text: Column) -> Column:
     return F.filter(each, lambda x: x["words"] > 0)
 
 
-def _bloom(keys: DataFrame, bits: int) -> DataFrame:
-    """A Bloom filter with one bit a key: rows (page, bitmap) of 32,768 bits each, at most bits / 32,768 of them."""
-    at = F.pmod("k1", F.lit(bits))
-    return keys.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
-
-
-def _in_bloom(bits: int) -> Column:
-    """Whether the bit of k1 is set in the page's bitmap, which is null where no bit of it is."""
-    place = F.bitmap_bit_position(F.pmod("k1", F.lit(bits)))
-    byte = F.conv(F.hex(F.substr("bitmap", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.call_function("shiftright", byte, F.pmod(place, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
-
-
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", *, max_docs: int = 10, min_kept: float = 0.3, bloom_bits: int = 1 << 26) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", *, max_docs: int = 10, min_kept: float = 0.3, bloom_bits: int = BLOOM_BITS) -> DataFrame:
     """The rows of docs with two more columns, _rules (struct) and _cleaned (text without the removed lines).
 
     _rules has n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
@@ -102,9 +89,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     frequent = cut(lines.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > max_docs).select("host", "h"), "frequent")
     removed = cut(lines.join(frequent, ["host", "h"], "left_semi").groupBy("k1", "k2", "host").agg(F.collect_set("h").alias("_frequent")), "removed")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    keyed = docs.select(row, *key).withColumn("page", F.bitmap_bucket_number(F.pmod("k1", F.lit(bloom_bits))))
-    marked = keyed.join(F.broadcast(_bloom(removed, bloom_bits)), "page", "left")
-    maybe = _in_bloom(bloom_bits)
+    marked, maybe = with_bloom(docs.select(row, *key), removed, bloom_bits)
     touched = marked.where(maybe).select("_row", "k1", "k2", "host").join(removed, ["k1", "k2", "host"], "left").select("_row", "_frequent")
     alone = marked.where(~maybe).select("_row", F.lit(None).cast("array<long>").alias("_frequent"))
     return _judged(alone, text_col, min_kept).unionByName(_judged(touched, text_col, min_kept))
