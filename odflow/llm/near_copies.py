@@ -9,10 +9,11 @@ with a probability of 2e-6, a pair at 0.2 shares one with 7e-4.
 Texts of a band or fingerprint component are compared with the one of the smallest
 id, the centre. Those found alike go, and the centre leaves the band. Of what is left,
 small bands are finished by making every member a centre. A large one is a crowd of texts
-that are similar but mostly not alike: its members are indexed anew under some hundred
-triples of their bands, 21 hashes each, which texts that are not alike seldom share
-(at 0.6 with 2e-5, at 0.8 a pair shares one of them with 0.95), and compared in the same
-way. So a text meets few others however large the crowd is, and none is left out.
+that are similar but mostly not alike: its members are indexed anew by their prefixes, the
+fifth of a text's shingles that fewest texts of the crowds have. Two texts at 0.8 share
+at least one shingle of both prefixes, for certain, and texts that are not alike seldom do.
+They are compared in the same way, so a text meets few others however large the crowd is,
+and none is left out.
 
 In the end the smallest id of each group stays, and each text that goes is alike to one
 of a smaller id.
@@ -34,7 +35,6 @@ from .simhash import NEAR, near_duplicates
 BANDS, EACH = 56, 7
 LEAST = 0.8
 SMALL = 16  # members of a band that are all compared
-TRIPLES = 320
 
 
 def shingles(text: bytes, words_each: int = 5) -> np.ndarray:
@@ -59,12 +59,6 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def triples() -> np.ndarray:
-    """The bands that are taken together, three each."""
-    rng = np.random.default_rng(7)
-    return np.array([rng.choice(BANDS, 3, replace=False) for _ in range(TRIPLES)])
-
-
 def alike(one: np.ndarray, other: np.ndarray, least: float = LEAST) -> bool:
     """Is the Jaccard similarity of two shingle sets, sorted, at least least?"""
     if min(len(one), len(other)) < least * max(len(one), len(other)):
@@ -97,6 +91,30 @@ def _sets(words_each: int):
     return run
 
 
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n, shingle) of sets (key, set) with n shingles."""
+    for batch in (whole.slice(a, 100) for whole in batches for a in range(0, whole.num_rows, 100)):
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+        n = np.array([len(x) for x in sets], np.int64)
+        yield pa.record_batch([pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(np.repeat(n, n)), pa.array(np.concatenate([np.empty(0, np.int64), *sets]))], names=["key", "n", "shingle"])
+    tidy()
+
+
+def prefixes(sets: DataFrame, least: float) -> DataFrame:
+    """(key, band): of each set the shingles, as bands, that any set at a similarity of least or more has one of among its own.
+
+    Such two have least of either's shingles in common. In one order for all sets, rarest
+    first, the common ones can't all lie behind the first n - least n + 1 of a set's n.
+    What no other set has comes first and is left out.
+    """
+    each = cut(sets.mapInArrow(_each, "key long, n long, shingle long"), "shingles")
+    often = cut(each.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1"), "often")
+    own = Window.partitionBy("key")
+    found = each.join(often, "shingle").withColumn("m", F.count("*").over(own)).withColumn("r", F.row_number().over(own.orderBy("times", "shingle")))
+    first = F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-6)) + 1
+    return found.where(F.col("n") - F.col("m") + F.col("r") <= first).select("key", F.col("shingle").alias("band"))
+
+
 def _check(least: float):
     """The pairs whose sets are alike."""
 
@@ -153,9 +171,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
             if crowd.isEmpty():
                 large = crowd
                 break
-            three = F.explode(F.transform(F.lit(triples().tolist()), lambda t, k: F.xxhash64(k, *[F.get("bands", t[i]) for i in range(3)]))).alias("band")
-            arrays = sketches.join(cut(crowd.select(F.col("place.key").alias("key")), "keys"), "key", "left_semi").dropDuplicates(["key"])
-            keyed = cut(arrays.select("key", three).join(crowd.withColumn("key", F.col("place.key")), "key").select("band", "place"), "triples")
+            own = cut(crowd.select(F.col("place.key").alias("key")).distinct(), "keys")
+            rare = prefixes(sets.join(own, "key", "left_semi"), least)
+            keyed = cut(rare.join(crowd.withColumn("key", F.col("place.key")), "key").select("band", "place"), "prefixes")
             several = cut(keyed.groupBy("band").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a < b").select("band"), "several")
             live = cut(keyed.join(several, "band", "left_semi"), "members")
             links = cut(_centred(live, 1).join(tested, ["a", "b"], "left_anti"), "links")
@@ -171,7 +189,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
                 small = live.join(sizes.where(F.col("n") <= SMALL).select("band"), "band", "left_semi")
                 links = cut(_centred(cut(small, "small"), SMALL).join(tested, ["a", "b"], "left_anti"), "links")
     centres = 2
-    while not large.isEmpty():  # crowds that share triples: more centres each time
+    while not large.isEmpty():  # crowds that share a shingle of their prefixes: more centres each time
         large = cut(large.join(gone, "place", "left_anti"), "large")
         links = cut(_centred(large, centres).join(tested, ["a", "b"], "left_anti"), "links")
         fresh = _compared(links, sets, least)

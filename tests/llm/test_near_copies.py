@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from odflow.llm.near_copies import alike, bands, keep_one, shingles
+from odflow.llm.near_copies import prefixes as near_copies_prefixes
 
 SF = "/root/testdata/sf0.001"
 
@@ -100,6 +101,44 @@ def test_crowds(spark, monkeypatch):
     assert len(both) <= 0.1 * len({i for p in pairs for i in p if i < 2000}), both
 
 
+def test_crowds_are_whole(spark, monkeypatch):
+    """In a crowd whose texts share a single band, no pair just above the threshold is missed."""
+    from odflow.llm import near_copies
+
+    def one_shared(hashes):
+        own = bands(hashes)
+        return np.r_[np.uint64(1), own[1:] + hashes.sum()]
+
+    monkeypatch.setattr(near_copies, "SMALL", 4)
+    monkeypatch.setattr(near_copies, "bands", one_shared)
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(3000)]
+    base, rows = rng.choice(words, 150), []
+    for i in range(100):
+        t = base.copy()
+        t[rng.choice(150, 6, replace=False)] = rng.choice(words, 6)
+        rows.append((i, " ".join(t)))
+        t[np.array([10, 60, 110]) + rng.integers(0, 30)] = rng.choice(words, 3)  # some 15 of 146 shingles: about 0.81
+        rows.append((1000 + i, " ".join(t)))
+    got = {r.doc_id for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    check_kept(rows, got)
+    assert len(slow_groups(rows)[1]) > 50 and len(got) > 50
+
+
+def test_prefixes(spark):
+    """Every two sets that are alike share a band; a set has at most a fifth of its shingles and one as bands."""
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.choice(60, rng.integers(1, 50))) for _ in range(120)]
+    sets += [np.unique(np.r_[s[: len(s) * 9 // 10], rng.integers(0, 60)]) for s in sets]
+    df = spark.createDataFrame([(k, s.astype(np.int64).tobytes()) for k, s in enumerate(sets)], "key long, set binary").repartition(3)
+    bands_of = {}
+    for r in near_copies_prefixes(df, 0.8).collect():
+        bands_of.setdefault(r.key, set()).add(r.band)
+    pairs = [(i, k) for i in range(len(sets)) for k in range(i) if alike(sets[k].astype(np.uint64), sets[i].astype(np.uint64))]
+    assert len(pairs) > 50 and all(bands_of[i] & bands_of[k] for i, k in pairs)
+    assert all(len(b) <= len(sets[k]) // 5 + 1 for k, b in bands_of.items())
+
+
 def test_only_null_ids(spark):
     rows = [(None, "some words that are the same"), (None, "some words that are the same"), (None, "quite another text"), (None, None)]
     assert sorted(r.text or "" for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == ["", "quite another text", "some words that are the same"]
