@@ -17,6 +17,17 @@ def generate(pairs: DataFrame, score: str = "score", total: str = "in_tile", out
     return out.withColumn("gen", F.col("p") * F.coalesce("outflow", F.lit(0))).drop("outflow")
 
 
+def of_sums(pairs: DataFrame, score: str = "score") -> DataFrame:
+    """pairs with ls_<score> and tot of their origin, with lp, p and gen: as generate gives them, without a window."""
+    out = pairs.withColumn("lp", F.col(score) - F.col(f"ls_{score}")).withColumn("p", F.exp("lp"))
+    return out.withColumn("gen", F.col("p") * F.col("tot"))
+
+
+def by_all_origins(origins: DataFrame, trips: DataFrame, name: str, value) -> DataFrame:
+    """(origin, tot, name) of all origins (origin, tot): value aggregated over trips, the pairs with a flow, 0 without any. Pairs without a flow add nothing to what is summed of flows."""
+    return origins.join(trips.groupBy("origin").agg(value.alias(name)), "origin", "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+
+
 def negative_log_likelihood(pairs: DataFrame, score: str = "score", normalize: bool = False) -> DataFrame:
     """(origin, nll): minus the flows times the log probabilities; normalize divides flows by the origin's."""
     terms = pairs.withColumn("lp", log_softmax(F.col(score)))

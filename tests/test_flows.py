@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from odflow import cli
 from odflow.catalog import QUERIES, SQL
+from odflow.functions import choice as choice_functions
 from odflow.functions import geo
 from odflow.models import linear, mlp, store, training
 from odflow.operators import evaluation, flows, pairs, report, spatial
@@ -365,6 +366,29 @@ def choice(origin, t, score):
     return loss, error
 
 
+def test_log_sums(spark):
+    """Scores far apart and far from 0, in several levels, do not overflow; means are by the first score's probabilities."""
+    rows = [("a", 1500.0, 1.0), ("a", 1499.0, 2.0), ("a", -700.0, 9.0), ("b", -3000.0, 1.0), ("b", -2990.5, 3.0), ("c", 0.0, 5.0)]
+    df = spark.createDataFrame(rows, "origin string, s double, v double").repartition(3)
+    got = {r.origin: r for r in choice_functions.log_sums(df, ("s",), {"m": F.col("v")}).collect()}
+    for o in "abc":
+        s, v = np.array([(x, y) for n, x, y in rows if n == o]).T
+        e = np.exp(s - s.max())
+        assert got[o].ls_s == pytest.approx(s.max() + np.log(e.sum()), rel=1e-12) and got[o].m == pytest.approx((e * v).sum() / e.sum())
+
+
+@needs_tables
+@pytest.mark.parametrize("few", [1, 10**9])
+@pytest.mark.parametrize("name", ["generated_flow", "cpc_numerator", "features_dg", "leaky_relu", "train_linear_step", "compare_models"])
+def test_pairs_are_not_sorted(spark, name, few, monkeypatch):
+    """Spread over parts or not: the rows of the SQL, without a window over pairs, and without the steps of all orders in the plan."""
+    monkeypatch.setattr(pairs, "FEW_PAIRS", few)
+    df = QUERIES[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in ("Window [sum(", "Window [max(", "lineitem") if x in plan]
+    test_query_against_duckdb(spark, name)
+
+
 @needs_tables
 def test_training_queries_against_numpy(spark):
     _, origin, t, _, ln_d, dist = numpy_inputs(spark)
