@@ -366,6 +366,12 @@ def choice(origin, t, score):
     return loss, error
 
 
+def test_outputs_of_a_net():
+    layers, x = mlp.create("deep", 13), np.random.default_rng(2).normal(size=(2500, 13))
+    assert mlp.outputs(x, layers) == pytest.approx(mlp.forward(x, layers)[-1][:, 0], abs=1e-12)
+    assert not len(mlp.outputs(x[:0], layers))
+
+
 def test_log_sums(spark):
     """Scores far apart and far from 0, in several levels, do not overflow; means are by the first score's probabilities."""
     rows = [("a", 1500.0, 1.0), ("a", 1499.0, 2.0), ("a", -700.0, 9.0), ("b", -3000.0, 1.0), ("b", -2990.5, 3.0), ("c", 0.0, 5.0)]
