@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linear import RmsProp
-from .mlp import PARTS, Layer, added_up, as_blocks, by_origin, flat, loss_of_origin, shaped
+from .mlp import PARTS, Layer, added_up, as_arrow, as_blocks, by_origin, flat, loss_of_origin, shaped
 
 
 @dataclass
@@ -35,23 +35,25 @@ class State:
         return cls(layers, np.zeros(size), np.zeros(size))
 
 
-def train_epoch(pairs: DataFrame, state: State, *, batch_size: int = 64, lr: float = 5e-6, momentum: float = 0.9, dropout: float = 0.0, seed: int = 1234, epoch: int = 1, workers: int = 8) -> tuple[float, State]:
+def train_epoch(pairs: DataFrame, state: State, *, batch_size: int = 64, lr: float = 5e-6, momentum: float = 0.9, dropout: float = 0.0, seed: int = 1234, epoch: int = 1, workers: int = 8, each: Callable | None = None) -> tuple[float, State]:
     """(mean loss of an origin, new state) after each origin of pairs (origin, destination, t, x) was used once.
 
     The loss is the one before each step. Origins go to workers by hash and are used in
     the order of their ids. A worker sends three vectors of the model's size, so their
-    number is a parameter. Without rows the state stays and the loss is 0.
+    number is a parameter. Without rows the state stays and the loss is 0. With each,
+    pairs are packed rows, dealt to workers already, of whose Arrow batches it gives
+    the origins' (x, t) in order.
     """
     if batch_size < 1 or workers < 1:
         raise ValueError("batch_size and workers are at least 1")
     layers, square, speed = state.layers, state.square, state.speed
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(origins: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
         rng = np.random.default_rng([seed, epoch, TaskContext.get().partitionId()])
         values, optimizer = flat(layers), RmsProp(len(square), lr, momentum)
         optimizer.square, optimizer.speed = square, speed
         n, loss, gradient, now = 0, 0.0, np.zeros(len(values)), layers
-        for x, t in by_origin(batches):
+        for x, t in origins:
             one, g = loss_of_origin(x, t, now, dropout, rng)
             n, loss, gradient = n + 1, loss + one, gradient + g
             if n % batch_size == 0:
@@ -62,8 +64,12 @@ def train_epoch(pairs: DataFrame, state: State, *, batch_size: int = 64, lr: flo
         if n:
             yield as_blocks(n, loss, n * np.concatenate([values, optimizer.square, optimizer.speed]))
 
-    rows = pairs.select("origin", "destination", "t", "x").repartition(workers, F.col("origin")).sortWithinPartitions("origin", "destination")
-    n, loss, total = added_up(rows.mapInPandas(run, PARTS))
+    if each is None:
+        rows = pairs.select("origin", "destination", "t", "x").repartition(workers, F.col("origin")).sortWithinPartitions("origin", "destination")
+        parts = rows.mapInPandas(lambda batches: run(by_origin(batches)), PARTS)
+    else:
+        parts = pairs.mapInArrow(lambda batches: (as_arrow(p) for p in run(each(batches))), PARTS)
+    n, loss, total = added_up(parts)
     if not n:
         return 0.0, state
     values, square, speed = np.split(total / n, 3)

@@ -14,7 +14,7 @@ from odflow import cli
 from odflow.catalog import QUERIES, SQL
 from odflow.functions import choice as choice_functions
 from odflow.functions import geo
-from odflow.models import linear, mlp, store, training
+from odflow.models import linear, mlp, store, tiles, training
 from odflow.operators import evaluation, flows, pairs, report, spatial
 from odflow.sources import files, osm
 from odflow.streaming import transitions, windowed_flows
@@ -436,3 +436,54 @@ def test_nets_against_numpy(spark):
     assert len(losses) == 4 and losses[-1] < losses[0]
     text = QUERIES["centroid_text"](spark, SF).collect()
     assert all(r.centroid == f"[{r.parsed[0]},{r.parsed[1]}]" for r in text)
+
+
+def test_steps_are_ordered_by_what_decides(spark):
+    """What comes after the place in the order is not shuffled; ties before it give the same flows."""
+    rows = [(1, 1, 7, 3.0), (1, 1, 5, 1.0), (1, 2, 5, 2.0), (2, 1, 5, 9.0), (2, 1, 5, 8.0), (2, None, 7, 1.0)]
+    df = spark.createDataFrame(rows, "k long, n int, s long, x double")
+    made = flows.transitions(df, "k", ["n", "s", "x"], "s")
+    assert {tuple(r) for r in made.collect()} == {("5", "7", 1), ("7", "5", 2), ("5", "5", 1)}
+    assert "x#" not in made._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
+
+
+def test_rounding_at_six_decimals(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from odflow.plans.registry import round6
+
+    values = [0.0, 0.1234565, -0.1234565, 2.5e-7, -2.5e-7, 1234567.1234567, 1e12 + 0.3, -3e15, 5e-7, -5e-7, 999999999.9999999, None, float("nan"), float("inf")]
+    got = [r.y for r in spark.createDataFrame([(v,) for v in values], "x double").select(round6(F.col("x")).alias("y")).collect()]
+    want = [None if v is None else duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in values]
+    assert [repr(g) for g in got] == [repr(w + 0.0 if w is not None else w) for w in want]
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["cpc_numerator", "cpc_summary", "train_linear", "train_linear_step", "train_mlp", "train_mlp_step"])
+def test_no_row_is_made_of_a_pair(spark, name, monkeypatch):
+    def refuse(*args, **kw):
+        raise AssertionError("pairs as rows")
+
+    monkeypatch.setattr(pairs, "od_pairs", refuse)
+    assert QUERIES[name](spark, SF).collect()
+
+
+def test_packed_pairs(spark):
+    """Tiles of several sizes, a location without a place and one without flows, dealt by the origins' hash: a part a number, and sums as by loops."""
+    loc = spark.createDataFrame([(f"L{k}", "ab"[k % 3 > 0], float(k * 7 % 50), float(k * 31 % 170), float(k + 1)) for k in range(20)] + [("none", "b", None, None, 2.0), ("lost", None, 0.0, 0.0, 1.0)], "loc_id string, tile_id string, lat double, lng double, pop double")
+    loc = pairs.with_angles(loc).withColumn("ln_pop", F.ln("pop"))
+    seen = spark.createDataFrame([("L1", "L2", 4), ("L1", "L0", 9), ("L2", "L1", 1)], "origin string, destination string, flow long")
+    rows = tiles.dealt(loc, 4, flows=seen)
+    parts = rows.where("origin is not null").select("origin", F.spark_partition_id().alias("p"), F.pmod(F.hash("origin"), F.lit(4)).alias("h")).collect()
+    assert len(parts) == 21 and all(r.p == r.h for r in parts)
+    assert {r.origin: r["at"] and r.t for r in rows.where("origin in ('L1', 'L2', 'L0')").collect()} == {"L1": [4.0], "L2": [1.0], "L0": None}
+    all_pairs = pairs.with_distance(pairs.od_pairs(loc, ("lat", "lng", "ln_pop")))
+    want = {r.origin: r.s for r in all_pairs.groupBy("origin").agg(F.ln(F.sum(F.exp(0.8 * F.col("d_ln_pop") - 0.0005 * F.col("dist") + 2))).alias("s")).collect()}
+    got = {r.origin: r.ls_score for r in tiles.log_sums(rows, [0.8, -0.0005, 2.0]).collect()}
+    assert set(got) == set(want) and all(want[o] is None or got[o] == pytest.approx(want[o], rel=1e-12) for o in want)
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["features_ng", "generated_flow"])
+def test_destinations_are_not_dealt_to_every_part(spark, name, monkeypatch):
+    monkeypatch.setattr(pairs, "FEW_PAIRS", 1)
+    assert "Generate explode(sequence" not in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
