@@ -15,6 +15,7 @@ fixed first directions, gives the clusters. Each round reads 128 bytes a documen
 
 from __future__ import annotations
 
+import math
 import warnings
 from collections import Counter
 from collections.abc import Iterator
@@ -34,11 +35,11 @@ FAR = 1e12  # a weight above it is no solution
 
 
 class WordVectors(dict):
-    """Word -> its vector's places, each with a sign in the lowest bit: two of WIDTH."""
+    """Word -> its vector's places, each with a sign in the lowest bit: two of WIDTH, as one number, the first times 2 * WIDTH and the second."""
 
-    def __missing__(self, word: str) -> tuple[int, int]:
+    def __missing__(self, word: str) -> int:
         h = xxhash.xxh64_intdigest(word.encode(errors="replace"), 7)
-        places = (h % (2 * WIDTH), (h >> 32) % (2 * WIDTH))
+        places = h % (2 * WIDTH) * (2 * WIDTH) + (h >> 32) % (2 * WIDTH)
         if len(self) >= CACHE:
             self.clear()
         if len(word) < 40:
@@ -52,11 +53,13 @@ def measure(text: str | None, words: WordVectors) -> tuple[int, np.ndarray]:
     counts = Counter(own)
     if not counts:
         return 0, np.zeros(WIDTH, np.float16)
-    at = np.array([words[w] for w in counts])
+    places = np.fromiter(map(words.__getitem__, counts), np.int64, len(counts))
+    at = np.empty((len(counts), 2), np.int64)
+    np.divmod(places, 2 * WIDTH, out=(at[:, 0], at[:, 1]))
     weight = 1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))
-    both = np.bincount(at.ravel(), np.repeat(weight, 2), 2 * WIDTH)
+    both = np.bincount(at.ravel(), weight.repeat(2), 2 * WIDTH)
     vector = both[::2] - both[1::2]
-    return len(own), (vector / (np.linalg.norm(vector) or 1)).astype(np.float16)
+    return len(own), (vector / (math.sqrt(vector @ vector) or 1)).astype(np.float16)
 
 
 def nearest(vectors: np.ndarray, language: np.ndarray, means: np.ndarray, centres: np.ndarray) -> np.ndarray:

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from odflow.llm import context_mixing, privacy, simhash, substring_dedup, warc
+from odflow.llm import context_mixing, mixing, privacy, simhash, substring_dedup, warc
 from odflow.llm.components import components
 from odflow.llm.mixing import mix, probabilities, rake
 from odflow.llm.packing import PieceIds, default_tokenizer, pack, padded_length
@@ -667,3 +667,25 @@ def test_topics_are_found_within_languages(spark):
 def test_targets_that_cannot_be_met_warn():
     with pytest.warns(UserWarning, match="met"):
         rake(np.array([[1.0, 0.0], [0.0, 1.0]]), [np.array([0.9, 0.1]), np.array([0.1, 0.9])])
+
+
+def test_a_words_places_are_one_number():
+    """Looked up as one whole number a word, and the vector is that of the two signed places."""
+    words = mixing.WordVectors()
+    n, vector = mixing.measure("b a b ä", words)
+    want = np.zeros(mixing.WIDTH)
+    for word, times in (("b", 2), ("a", 1), ("ä", 1)):
+        h = xxhash.xxh64_intdigest(word.encode(), 7)
+        assert isinstance(words[word], int)
+        for place in (h % (2 * mixing.WIDTH), (h >> 32) % (2 * mixing.WIDTH)):
+            want[place // 2] += (1 + np.log(times)) * (1 - 2 * (place % 2))
+    assert n == 4 and vector.astype(float) == pytest.approx(want / np.linalg.norm(want), abs=1e-3)
+
+
+def test_slots_are_of_all_tables_in_one():
+    """A decision's slots lie in their context's own part of the tables, as do those of the match decision."""
+    rng = np.random.default_rng(5)
+    n = 50
+    x = {"leaves": rng.integers(0, 64, n).astype(np.uint8), "low": rng.integers(0, 1 << 20, n).astype(np.uint32), "match": rng.integers(-1, 2, n).astype(np.int8), "run": rng.integers(0, 99, n).astype(np.uint8)}
+    d = context_mixing._decisions(x, np.arange(n), np.arange(n))
+    assert (d["slots"] // context_mixing.SLOTS == np.arange(context_mixing.CONTEXTS)).all()
