@@ -197,13 +197,18 @@ def _decisions(x: dict, index: np.ndarray, place: np.ndarray) -> dict[str, np.nd
     made = np.empty((n, DECISIONS), bool)
     made[:, 0] = match >= 0
     made[:, 1:] = (match <= 0)[:, None]
-    slots = np.empty((n, DECISIONS, CONTEXTS), np.int64)
+    slots = np.empty((n, DECISIONS, CONTEXTS), np.int64)  # of all contexts' tables, one after the other
     slots[:, :, 0] = nodes
-    slots[:, :, 1] = before[:, None] * NODES + nodes
+    np.add(nodes, (before * NODES + SLOTS)[:, None], out=slots[:, :, 1])
+    spread = nodes.view(np.uint64) * np.uint64(0x94D049BB133111EB)
     for k, key in ((2, before * 128 + before2), (3, word)):
         h = _mix64(key.astype(np.uint64) + np.uint64(k << 32))
-        slots[:, :, k] = _mix64(h[:, None] + nodes.astype(np.uint64) * np.uint64(0x94D049BB133111EB)) >> np.uint64(46)
-    slots[:, 0, 1], slots[:, 0, 2] = streak * NODES, streak * 128 + before  # the match decision looks at how long matches went on
+        x = h[:, None] + spread
+        x *= _M
+        x ^= x >> np.uint64(32)
+        x >>= np.uint64(46)
+        np.add(x.view(np.int64), k * SLOTS, out=slots[:, :, k])
+    slots[:, 0, 1], slots[:, 0, 2] = streak * NODES + SLOTS, streak * 128 + before + 2 * SLOTS  # the match decision looks at how long matches went on
     return {"slots": slots, "nodes": nodes, "bits": bits, "made": made}
 
 
@@ -263,16 +268,18 @@ def _code(slices: int, groups: int, totals: dict):
             ids=x["ids"], null=x["null"], train=x["train"], bytes=x["bytes"], lens=lens, codes=codes.astype(np.int32), leaf_of=leaf_of, low_of=np.r_[x["low"], np.uint32(0)], inner_of=inner, match=match, run=streak,
             base=np.add.reduceat(base[codes], first), known=np.add.reduceat((of_code[codes] > 0).astype(np.int64), first),
         )
-        table = np.zeros((2, CONTEXTS * SLOTS), np.int64)
-        learn = np.repeat(x["train"], lens)
-        for a in range(0, n, 60_000):
-            s = slice(a, min(a + 60_000, n))
-            d = _decisions({"leaves": leaves, "low": low, "match": match, "run": streak}, np.arange(s.start, s.stop), place[s])
-            use = d["made"] & learn[s, None] & code.forks[d["nodes"]]
-            flat = (d["slots"] + np.arange(CONTEXTS) * SLOTS)[use]
-            one = d["bits"][use].astype(bool)
-            table[1] += np.bincount(flat[one].ravel(), minlength=CONTEXTS * SLOTS)
-            table[0] += np.bincount(flat[~one].ravel(), minlength=CONTEXTS * SLOTS)
+        table = np.zeros(CONTEXTS * SLOTS * 2, np.int64)
+        learned, seen = np.flatnonzero(np.repeat(x["train"], lens)), []
+        tokens_at = {"leaves": leaves, "low": low, "match": match, "run": streak}
+        for a in range(0, len(learned), 12_000):  # few enough to stay in the cache; counted some at a time
+            index = learned[a : a + 12_000]
+            d = _decisions(tokens_at, index, place[index])
+            use = d["made"] & code.forks[d["nodes"]]
+            seen.append((d["slots"][use] * 2 + d["bits"][use][:, None]).ravel())
+            if len(seen) == 10 or a + 12_000 >= len(learned):
+                table += np.bincount(np.concatenate(seen), minlength=len(table))
+                seen = []
+        table = table.reshape(-1, 2).T
         group = int(rows.column("block")[0].as_py()) * 0x9E3779B1 % groups
         parts = np.split(table, slices, axis=1)
         return pa.table({"slice": [-1, *range(slices)], "grp": [group] * (slices + 1), "data": [coded, *[_pack(t=p.astype(np.uint32)) for p in parts]]}, schema=schema)
@@ -312,10 +319,11 @@ def _lockstep(x: dict, first: np.ndarray, lens: np.ndarray, stretched: np.ndarra
     n_lanes, longest = len(first), int(lens[0])
     alive = np.searchsorted(-lens, -np.arange(1, longest + 1), side="right")  # lanes with a token at each step
     weights = np.full((n_lanes, DECISIONS, INPUTS), 0.25, np.float32)
-    own = np.full((n_lanes, NODES), 0.0, np.float32)  # logits of this text's own counts
-    refine = np.tile(np.linspace(-8, 8, APM_BINS, dtype=np.float32), (n_lanes, DECISIONS, 1))
+    own = np.full(n_lanes * NODES, 0.0, np.float32)  # logits of this text's own counts
+    refine = np.tile(np.linspace(-8, 8, APM_BINS, dtype=np.float32), n_lanes * DECISIONS)
     total = np.zeros(n_lanes)
-    lane, gate = np.arange(n_lanes)[:, None], np.arange(DECISIONS)[None, :]
+    lane = np.arange(n_lanes)[:, None]
+    gates = (lane * DECISIONS + np.arange(DECISIONS)) * APM_BINS  # where a lane's map of a decision begins
     step = 0
     while step < longest:  # some tokens of all lanes at a time: their inputs are gathered together
         m = int(alive[step])
@@ -324,7 +332,7 @@ def _lockstep(x: dict, first: np.ndarray, lens: np.ndarray, stretched: np.ndarra
         index = np.minimum(first[:m, None] + steps, (first + lens - 1)[:m, None]).ravel()
         place = np.broadcast_to(steps, (m, span)).ravel()
         d = _decisions(x, index, place)
-        st = stretched[np.arange(CONTEXTS), d["slots"]].reshape(m, span, DECISIONS, CONTEXTS)
+        st = stretched.ravel().take(d["slots"]).reshape(m, span, DECISIONS, CONTEXTS)
         nodes, bits, made = (d[k].reshape(m, span, DECISIONS) for k in ("nodes", "bits", "made"))
         match, share = x["match"][index].reshape(m, span), np.exp(x["inner"][index].astype(np.float64)).reshape(m, span)
         told, hit = (match >= 0).astype(np.float32), (match > 0).astype(np.float32)
@@ -332,20 +340,23 @@ def _lockstep(x: dict, first: np.ndarray, lens: np.ndarray, stretched: np.ndarra
         made = made if fork is None else made & fork
         bits = bits.astype(np.float32)
         zeros = 1 - bits
+        own_at = nodes + lane[:m, :, None] * NODES
         for t in range(span):
             a = int(alive[step + t])
             inputs = np.empty((a, DECISIONS, INPUTS), np.float32)
             inputs[:, :, :CONTEXTS] = st[:a, t]
-            node, bit, on = nodes[:a, t], bits[:a, t], made[:a, t]
-            inputs[:, :, CONTEXTS] = own[lane[:a], node]
+            mine_at, bit, on = own_at[:a, t], bits[:a, t], made[:a, t]
+            mine = own.take(mine_at)
+            inputs[:, :, CONTEXTS] = mine
             logit = np.clip(np.einsum("ldk,ldk->ld", weights[:a], inputs), -8, 8)
             p = 1 / (1 + np.exp(-logit))
             error = np.where(on, bit - p, 0)
             weights[:a] += rate * error[:, :, None] * inputs
             spot = np.rint(logit * ((APM_BINS - 1) / 16) + (APM_BINS - 1) / 2).astype(np.int64)
-            seen = refine[lane[:a], gate, spot]
+            spot += gates[:a]
+            seen = refine.take(spot)
             q = 1 / (1 + np.exp(-seen))
-            refine[lane[:a], gate, spot] = seen + map_rate * np.where(on, bit - q, 0)
+            refine[spot] = seen + map_rate * np.where(on, bit - q, 0)
             mixed = 0.75 * p + 0.25 * q
             right = np.abs(zeros[:a, t] - mixed)  # of what the bit is
             if fork is not None:
@@ -353,9 +364,8 @@ def _lockstep(x: dict, first: np.ndarray, lens: np.ndarray, stretched: np.ndarra
             word = right[:, 1:].prod(axis=1) * share[:a, t]
             foretold = mixed[:, 0] * told[:a, t]
             total[:a] += np.log((1 - foretold) * word + foretold * hit[:a, t])
-            mine = inputs[:, :, CONTEXTS]
             fresh = 4 * own_rate * np.where(on, bit - 1 / (1 + np.exp(-mine)), 0)
-            own[lane[:a], node] = np.clip(mine + fresh, -8, 8)
+            own[mine_at] = np.clip(mine + fresh, -8, 8)
         step += span
     return total
 
