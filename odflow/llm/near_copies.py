@@ -129,10 +129,23 @@ def _check(least: float):
     return run
 
 
+def _linked(sets: DataFrame, links: DataFrame, end: str) -> DataFrame:
+    """(key, set_<end>) of the sets that may be that end of a link: the others, most of them in all rounds but the first, are not shuffled."""
+    marked, maybe = with_bloom(sets.withColumn("k1", F.col("key")), links.select(F.col(f"{end}.key").alias("k1")))
+    return marked.where(maybe).select("key", F.col("set").alias(f"set_{end}"))
+
+
+def _kept(rows: DataFrame, keepers: DataFrame, unsure: DataFrame) -> DataFrame:
+    """_row of the rows (_row, key, label) that are keepers, one of each; only rows of a key that is unsure are shuffled."""
+    marked, maybe = with_bloom(rows.withColumn("k1", F.col("key")), unsure.select(F.col("key").alias("k1")))
+    rest = marked.where(maybe).select("_row", "key", "label").join(keepers, ["key", "label"], "left_semi").dropDuplicates(["key", "label"])
+    return marked.where(~maybe).select("_row").unionByName(rest.select("_row"))
+
+
 def _compared(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """links (a, b), each once, with whether their texts are alike."""
-    with_b = links.withColumn("key", F.col("b.key")).join(sets.withColumnRenamed("set", "set_b"), "key").drop("key")
-    both = with_b.withColumn("key", F.col("a.key")).join(sets.withColumnRenamed("set", "set_a"), "key").drop("key")
+    with_b = links.withColumn("key", F.col("b.key")).join(_linked(sets, links, "b"), "key").drop("key")
+    both = with_b.withColumn("key", F.col("a.key")).join(_linked(sets, links, "a"), "key").drop("key")
     place = "struct<null: boolean, id: long, key: long>"
     return cut(both.select("a", "b", "set_a", "set_b").mapInArrow(_check(least), f"a {place}, b {place}, alike boolean"), "compared")
 
@@ -203,7 +216,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     keepers = cut(firsts.join(losers, "key", "left_anti").select("key", label), "keepers")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     rows = docs.select(row, key.alias("key"), F.coalesce(name.cast("string"), F.lit("")).alias("label"))
-    return rows.join(keepers, ["key", "label"], "left_semi").dropDuplicates(["key", "label"]).select("_row.*")
+    times = rows.groupBy("key", "label").agg(F.count("*").alias("n")).join(keepers.withColumn("stays", F.lit(True)), ["key", "label"], "left")
+    unsure = cut(times.where("stays is null or n > 1").select("key"), "unsure")  # texts of which a row goes
+    return _kept(rows, keepers, unsure).select("_row.*")
 
 
 def _first(members: DataFrame) -> DataFrame:

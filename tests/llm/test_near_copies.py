@@ -4,6 +4,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from odflow.llm.near_copies import alike, bands, keep_one, shingles
 from odflow.llm.near_copies import prefixes as near_copies_prefixes
@@ -153,3 +154,18 @@ def test_the_pipelines_stage(spark):
     kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, SF)
     assert kept.columns == docs.columns
     check_kept([(r.doc_id, r.text) for r in docs.collect()], [r.doc_id for r in kept.collect()])
+
+
+def test_only_texts_that_are_linked_or_go_are_shuffled(spark):
+    from odflow.llm import near_copies
+
+    sets = spark.range(2000).select((F.col("id") * 7919).alias("key"), F.lit(b"x").alias("set"))
+    place = lambda k: F.struct(F.lit(False).alias("null"), F.lit(1).cast("long").alias("id"), F.lit(k).cast("long").alias("key"))
+    links = spark.range(1).select(place(7919).alias("a"), place(15838).alias("b"))
+    for end, key in (("a", 7919), ("b", 15838)):
+        found = [r.key for r in near_copies._linked(sets, links, end).collect()]
+        assert key in found and len(found) < 20
+    rows = spark.createDataFrame([(k % 5, str(k % 5)) for k in range(8)], "key long, label string").withColumn("_row", F.struct("key"))
+    keepers = spark.createDataFrame([(0, "0"), (1, "1"), (2, "2"), (4, "4")], "key long, label string")
+    unsure = spark.createDataFrame([(0,), (1,), (2,), (3,)], "key long")  # 0, 1 and 2 twice, 3 goes
+    assert sorted(r._row.key for r in near_copies._kept(rows, keepers, unsure).collect()) == [0, 1, 2, 4]
