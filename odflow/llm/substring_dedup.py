@@ -3,7 +3,9 @@
 A byte goes if it lies in a `length`-byte string that also starts in a document
 with a smaller id. The plan never sorts all suffixes of the corpus at once:
 
-1. Documents are packed into blocks of a few MB, written once.
+1. Documents are packed into blocks of some parts of a few MB, written once. A part is
+   worked on at a time; what it sends leaves once a block and bucket, and buckets grow
+   with the input, so that parcels stay few.
 2. Each block marks anchors: hashes of 25-byte strings that are the least within
    some 50-byte window. Equal windows mark equal anchors. Only the hashes, once a
    block, meet by hash range, so a common passage costs one number a block.
@@ -38,7 +40,8 @@ STEPS = LENGTH - GRAM + 1  # anchor positions in a window, and windows around an
 SPAN = 2 * LENGTH - GRAM  # bytes around an anchor that its windows touch
 SYMBOL = 5  # bytes of a suffix-array symbol
 SIDE = GRAM // SYMBOL  # symbols on each side of the anchor, which is one symbol
-BLOCK_BYTES = 4 << 20
+PART_BYTES, PARTS = 4 << 20, 4  # of a part, and how many of them a block has
+BUCKET_BYTES = 8 << 20  # input of a bucket, from 256 buckets on
 PIECE = 8 << 20  # bytes whose hashes are formed at a time
 _SIDES = np.r_[np.arange(GRAM), np.arange(2 * GRAM, SPAN)]  # what is sent of those: the anchor's hash stands for its bytes
 NO_ID = (1 << 63) - 1  # a null id counts as larger than all ids
@@ -54,14 +57,17 @@ def _unpack(blob: bytes) -> dict[str, np.ndarray]:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, ids, texts, size, k = TaskContext.get().partitionId(), [], [], 0, 0
+    task, ids, texts, size, parts, whole, k = TaskContext.get().partitionId(), [], [], 0, [], 0, 0
 
-    def block() -> pa.RecordBatch:
+    def part() -> bytes:
         data = b"".join(texts)
         lens = np.fromiter(map(len, texts), np.int64, len(texts))
         null = np.array([i is None for i in ids], bool)
         own = np.array([NO_ID if i is None else i for i in ids], np.int64)
-        return pa.record_batch({"block": pa.array([(part << 32) + k]), "data": pa.array([_pack(ids=own, null=null, lens=lens, data=np.frombuffer(data, np.uint8))], pa.binary())})
+        return _pack(ids=own, null=null, lens=lens, data=np.frombuffer(data, np.uint8))
+
+    def block() -> pa.RecordBatch:
+        return pa.record_batch({"block": pa.array([(task << 32) + k]), "data": pa.array([parts], pa.list_(pa.binary()))})
 
     for batch in batches:
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -69,10 +75,16 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids.append(i)
             texts.append(raw.to_pybytes() if raw is not None else b"")
             size += len(texts[-1])
-            if size >= BLOCK_BYTES or len(ids) >= 65536:
-                yield block()
-                ids, texts, size, k = [], [], 0, k + 1
+            if size >= PART_BYTES or len(ids) >= 65536:
+                parts.append(part())
+                whole += size
+                ids, texts, size = [], [], 0
+                if whole >= PARTS * PART_BYTES or len(parts) >= PARTS:
+                    yield block()
+                    parts, whole, k = [], 0, k + 1
     if ids:
+        parts.append(part())
+    if parts:
         yield block()
 
 
@@ -136,14 +148,24 @@ def _bucketed(hashes: np.ndarray, docs: np.ndarray, buckets: int) -> tuple[np.nd
     return unique, count, inverse, used.astype(np.int64), edges
 
 
+def _located(data: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of a part's anchors, their hashes, and their documents' numbers in the part."""
+    at, h = _anchors(data, lens)
+    return at, h, np.searchsorted(np.cumsum(lens), at, side="right")
+
+
 def _hashes(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = _unpack(blob)
-                at, h = _anchors(x["data"], x["lens"])
-                doc = np.repeat(np.arange(len(x["lens"])), x["lens"])[at]
-                unique, count, _, used, edges = _bucketed(h, doc, buckets)
+            for block, blobs in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                hashes, docs, before = [], [], 0
+                for blob in blobs.as_py():
+                    x = _unpack(blob)
+                    _, h, doc = _located(x["data"], x["lens"])
+                    hashes.append(h)
+                    docs.append(doc + before)
+                    before += len(x["lens"])
+                unique, count, _, used, edges = _bucketed(np.concatenate(hashes), np.concatenate(docs), buckets)
                 low, few = (unique & np.uint64(0xFFFFFFFF)).astype("<u4"), np.minimum(count, 65535).astype("<u2")
                 yield pa.record_batch({
                     "bucket": pa.array(used, pa.int64()),
@@ -212,62 +234,43 @@ def _send(buckets: int):
     def run(blocks: pa.Table, flags: pa.Table) -> pa.Table:
         if not blocks.num_rows or not flags.num_rows:
             return schema.empty_table()
-        block, x = blocks.column("block")[0].as_py(), _unpack(blocks.column("data")[0].as_py())
-        data, lens, ids = x["data"], x["lens"], x["ids"]
-        at, h = _anchors(data, lens)
-        ends = np.cumsum(lens)
-        doc = np.repeat(np.arange(len(lens)), lens)[at]
-        _, _, inverse, used, edges = _bucketed(h, doc, buckets)
+        block, parts = blocks.column("block")[0].as_py(), [_unpack(p) for p in blocks.column("data")[0].as_py()]
+        found = [_located(x["data"], x["lens"]) for x in parts]
+        before = np.cumsum([0] + [len(x["lens"]) for x in parts])
+        _, _, inverse, used, edges = _bucketed(np.concatenate([h for _, h, _ in found]), np.concatenate([doc + n for (_, _, doc), n in zip(found, before, strict=False)]), buckets)
         flag = np.zeros(edges[-1], np.uint8)
         for k, f in zip(np.searchsorted(used, flags.column("bucket").to_numpy()).tolist(), flags.column("flags").to_pylist(), strict=True):
             flag[edges[k] : edges[k + 1]] = np.frombuffer(f, np.uint8)
-        flag = flag[inverse]
-        keep = flag > 0
-        at, h, doc, flag = at[keep], h[keep], doc[keep], flag[keep]
+        flag = np.split(flag[inverse], np.cumsum([len(h) for _, h, _ in found])[:-1])
+        around, window, covered = [], [], []
+        for k, (x, (at, h, doc)) in enumerate(zip(parts, found, strict=True)):
+            keep, found[k], parts[k] = flag[k] > 0, None, None  # a part at a time is held in full
+            if keep.any():
+                near, far, ranges = _of_part(x, at[keep], h[keep], doc[keep], flag[k][keep])
+                for rows, to in ((near, around), (far, window)):
+                    if rows:
+                        to.append(rows | {"doc": (rows["doc"] + before[k]).astype(np.int32)})
+                covered.append(ranges + [before[k], 0, 0])
         out: list[tuple[int, str, bytes]] = []
-        covered = []
-        step = 1 << 16
-        kept, which, n = [], [], 0
-        for a in range(0, len(at), step):  # of equal surroundings side by side one copy is held
-            s = slice(a, a + step)
-            rows, left, right = _around(data, at[s], (ends - lens)[doc[s]], ends[doc[s]])
-            whole = _hash_rows(rows, left, right)
-            _, first, inverse = np.unique(whole ^ h[s] * _C, return_index=True, return_inverse=True)
-            kept.append((rows[first], left[first].astype(np.uint8), right[first].astype(np.uint8), whole[first]))
-            which.append(inverse + n)
-            n += len(first)
-        if kept:
-            rows, left, right, whole = (np.concatenate(c) for c in zip(*kept, strict=True))
-            which = np.concatenate(which)
-            own, pos = ids[doc], at - (ends - lens)[doc]
-            later = own > _least((h, whole[which]), own)
-            covered.append(np.c_[doc, pos - left[which], pos + right[which]][later])
-            here = ~later & (flag == 1)
-            b = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-            order = np.flatnonzero(here)[np.argsort(b[here], kind="stable")]
+        if around:
+            n = np.cumsum([0] + [len(a["rows"]) for a in around])
+            x = {c: np.concatenate([a[c] + n[j] if c == "which" else a[c] for j, a in enumerate(around)]) for c in around[0]}
+            around.clear()
+            b = ((x["h"] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(b, kind="stable")
             full, cuts = runs(b[order])
             for k, begin, end in zip(full.tolist(), cuts, cuts[1:], strict=False):
                 o = order[begin:end]
-                u, at_u = np.unique(which[o], return_inverse=True)
-                out.append((k, "around", _pack(h=h[o], ids=own[o], doc=doc[o].astype(np.int32), pos=pos[o].astype(np.int64), which=at_u.astype(np.int32), left=left[u], right=right[u], rows=rows[u][:, _SIDES])))
-            warm = np.flatnonzero(~later & (flag == 2))
-            if len(warm):
-                spot, step_no = (c.ravel() for c in np.meshgrid(warm, np.arange(STEPS), indexing="ij"))
-                of = which[spot]
-                fits = (step_no >= GRAM - left[of]) & (step_no + LENGTH <= GRAM + right[of].astype(np.int64))
-                spot, of, step_no = spot[fits], of[fits], step_no[fits]
-                win = np.concatenate([_hash_rows(rows[of[a : a + step, None], step_no[a : a + step, None] + np.arange(LENGTH)]) for a in range(0, len(of), step)])
-                wid, wdoc, wstart = own[spot], doc[spot], pos[spot] - GRAM + step_no
-                tag = h[spot] + step_no.astype(np.uint64)
-                later = wid > _least((win, tag), wid)
-                covered.append(np.c_[wdoc, wstart, wstart + LENGTH][later])
-                o = np.flatnonzero(~later)
-                b = (_mix(win) % np.uint64(buckets)).astype(np.int64)
-                o = o[np.argsort(b[o], kind="stable")]
-                full, cuts = runs(b[o])
-                for k, begin, end in zip(full.tolist(), cuts, cuts[1:], strict=False):
-                    i = o[begin:end]
-                    out.append((buckets + k, "window", _pack(win=win[i], tag=tag[i], ids=wid[i], doc=wdoc[i].astype(np.int32), start=wstart[i])))
+                u, which = np.unique(x["which"][o], return_inverse=True)
+                out.append((k, "around", _pack(**{c: x[c][o] for c in ("h", "ids", "doc", "pos")}, which=which.astype(np.int32), **{c: x[c][u] for c in ("left", "right", "rows")})))
+        if window:
+            x = {c: np.concatenate([w[c] for w in window]) for c in window[0]}
+            window.clear()
+            b = (_mix(x["win"]) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(b, kind="stable")
+            full, cuts = runs(b[order])
+            for k, begin, end in zip(full.tolist(), cuts, cuts[1:], strict=False):
+                out.append((buckets + k, "window", _pack(**{c: v[order[begin:end]] for c, v in x.items()})))
         ranges = _union(np.concatenate(covered)) if covered else np.empty((0, 3), np.int64)
         if len(ranges):
             out.append((2 * buckets + block, "covered", _pack(ranges=ranges)))
@@ -276,6 +279,44 @@ def _send(buckets: int):
     return run
 
 
+def _of_part(x: dict[str, np.ndarray], at: np.ndarray, h: np.ndarray, doc: np.ndarray, flag: np.ndarray) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray], np.ndarray]:
+    """Of a part's shared anchors: the surroundings to be sent, the windows to be sent of those in many documents, and the ranges that the part's own earlier documents cover."""
+    data, lens, ids = x["data"], x["lens"], x["ids"]
+    ends, covered, step = np.cumsum(lens), [], 1 << 16
+    kept, which, n = [], [], 0
+    for a in range(0, len(at), step):  # of equal surroundings side by side one copy is held
+        s = slice(a, a + step)
+        rows, left, right = _around(data, at[s], (ends - lens)[doc[s]], ends[doc[s]])
+        whole = _hash_rows(rows, left, right)
+        _, first, inverse = np.unique(whole ^ h[s] * _C, return_index=True, return_inverse=True)
+        kept.append((rows[first], left[first].astype(np.uint8), right[first].astype(np.uint8), whole[first]))
+        which.append(inverse + n)
+        n += len(first)
+    rows, left, right, whole = (np.concatenate(c) for c in zip(*kept, strict=True))
+    which = np.concatenate(which)
+    own, pos = ids[doc], at - (ends - lens)[doc]
+    later = own > _least((h, whole[which]), own)
+    covered.append(np.c_[doc, pos - left[which], pos + right[which]][later])
+    o = np.flatnonzero(~later & (flag == 1))
+    u, at_u = np.unique(which[o], return_inverse=True)
+    near = {"h": h[o], "ids": own[o], "doc": doc[o], "pos": pos[o].astype(np.int64), "which": at_u, "left": left[u], "right": right[u], "rows": rows[u][:, _SIDES]} if len(o) else {}
+    warm, far = np.flatnonzero(~later & (flag == 2)), {}
+    if len(warm):
+        spot, step_no = (c.ravel() for c in np.meshgrid(warm, np.arange(STEPS), indexing="ij"))
+        of = which[spot]
+        fits = (step_no >= GRAM - left[of]) & (step_no + LENGTH <= GRAM + right[of].astype(np.int64))
+        spot, of, step_no = spot[fits], of[fits], step_no[fits]
+        if len(spot):
+            win = np.concatenate([_hash_rows(rows[of[a : a + step, None], step_no[a : a + step, None] + np.arange(LENGTH)]) for a in range(0, len(of), step)])
+            wid, wdoc, wstart = own[spot], doc[spot], pos[spot] - GRAM + step_no
+            tag = h[spot] + step_no.astype(np.uint64)
+            later = wid > _least((win, tag), wid)
+            covered.append(np.c_[wdoc, wstart, wstart + LENGTH][later])
+            o = np.flatnonzero(~later)
+            far = {"win": win[o], "tag": tag[o], "ids": wid[o], "doc": wdoc[o], "start": wstart[o]}
+    return near, far, np.concatenate(covered)
+
+
 def _union(ranges: np.ndarray) -> np.ndarray:
     """Rows (document, begin, end), with those merged that touch or overlap."""
     if not len(ranges):
@@ -391,16 +432,16 @@ def _finish(with_text: bool):
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept", "spans"] * with_text
 
     def run(blocks: pa.Table, found: pa.Table) -> pa.Table:
-        out = []
-        for blob in blocks.column("data").to_pylist():
+        out, before = [], 0
+        got = [_unpack(f)["ranges"] for f in found.column("data").to_pylist()]
+        ranges = _union(np.concatenate(got)) if got else np.empty((0, 3), np.int64)
+        for blob in blocks.column("data")[0].as_py() if blocks.num_rows else []:
             x = _unpack(blob)
-            got = [_unpack(f)["ranges"] for f in found.column("data").to_pylist()]
-            ranges = _union(np.concatenate(got)) if got else np.empty((0, 3), np.int64)
             data, ends = x["data"].tobytes(), np.cumsum(x["lens"]).tolist()
-            by = np.searchsorted(ranges[:, 0], np.arange(len(ends) + 1)).tolist()
-            spans = ranges[:, 1:].tolist()
+            by = np.searchsorted(ranges[:, 0], before + np.arange(len(ends) + 1)).tolist()
+            spans, before = ranges[by[0] : by[-1], 1:].tolist(), before + len(ends)
             for d, (i, null, n, end) in enumerate(zip(x["ids"].tolist(), x["null"].tolist(), x["lens"].tolist(), ends, strict=True)):
-                own, begin, pieces, at = spans[by[d] : by[d + 1]], end - n, [], 0
+                own, begin, pieces, at = spans[by[d] - by[0] : by[d + 1] - by[0]], end - n, [], 0
                 for a, b in own:
                     pieces.append(data[begin + at : begin + a])
                     at = b
@@ -423,8 +464,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     stay whole. Other columns are ignored. An empty table gives an empty one.
     """
     two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    buckets = buckets_for(docs, 2 << 20, 256)
-    blocks = cut(two.mapInArrow(_blocks, "block long, data binary"), "blocks")
+    buckets = buckets_for(docs, BUCKET_BYTES, 256)
+    blocks = cut(two.mapInArrow(_blocks, "block long, data array<binary>"), "blocks")
     by_range = blocks.mapInArrow(_hashes(buckets), "bucket long, block long, low binary, docs binary")
     flags = by_range.groupBy("bucket").applyInArrow(_flags(hot), "block long, bucket long, flags binary")
     sent = blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(_send(buckets), "bucket long, kind string, block long, data binary")

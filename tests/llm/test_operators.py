@@ -115,6 +115,18 @@ def test_substring_dedup_null_and_repeated_ids(spark):
     assert remove_repeats(df.limit(0)).count() == 0
 
 
+def test_substring_dedup_sends_a_parcel_for_several_parts(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "PART_BYTES", 400)
+    rng = np.random.default_rng(31)
+    passages = ["".join(rng.choice(list("abcdefgh "), 120)) for _ in range(6)]
+    texts = ["".join(rng.choice(list("xyz "), 30)) + "".join(passages[k] for k in rng.integers(0, 6, 2)) for _ in range(40)] + ["", "", passages[0] * 20]
+    df = spark.createDataFrame(rows_of(texts), SCHEMA).coalesce(1)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(df).collect()}
+    assert got == repeats(list(enumerate(texts)))
+    sizes = [len(r.data) for r in df.select("doc_id", "text").mapInArrow(substring_dedup._blocks, "block long, data array<binary>").collect()]
+    assert len(sizes) > 3 and min(sizes[:-2]) > 2  # what is sent is one parcel a block and bucket, not one a part
+
+
 def test_warc(spark, tmp_path):
     rows = [(4, "http://a/ b\r\n", "<p>ü</p>"), (2, "http://b", "<p>ü</p>"), (3, None, None), (9, "http://c", ""), (5, "http://d", "x" * 70_000), (None, "http://e", "<p>ü</p>")]
     pages = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, sha string")
