@@ -114,9 +114,10 @@ def private_key(spark: SparkSession) -> str:
 
 
 def once_a_worker(name: str, make: Callable):
-    """make()'s result, kept for all tasks that the Python worker runs; functions that travel by value have no globals that last."""
+    """make()'s result, kept for all tasks that the Python worker runs until one asks for another; functions that travel by value have no globals that last."""
     kept = sys.modules.setdefault("_odflow_worker", types.ModuleType("_odflow_worker")).__dict__
     if name not in kept:
+        kept.clear()  # a worker outlives its stage: what that one kept is not needed beside this
         kept[name] = make()
     return kept[name]
 

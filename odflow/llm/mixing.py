@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, once_a_worker, refuse
+from .common import cut, once_a_worker, refuse, tidy
 
 REST = "*"  # the category of all values without a target of their own
 TOPICS, WIDTH, ROUNDS = 8, 64, 4
@@ -73,6 +73,7 @@ def _measured(text_col: str) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         words = once_a_worker("word vectors", WordVectors)
         found = [measure(t.as_py(), words) for t in texts]
+        tidy()
         tokens, vectors = pa.array([f[0] for f in found], pa.int64()), pa.array([f[1].tobytes() for f in found], pa.binary())
         return pa.StructArray.from_arrays([tokens, vectors], names=["tokens", "vector"])
 
@@ -80,6 +81,21 @@ def _measured(text_col: str) -> Column:
     return F.arrow_udf(run, "struct<tokens: bigint, vector: binary>")(F.col(f"`{text_col}`").cast("string"))
 
 
+def _placed(text_col: str, language: Column, means: np.ndarray, centres: np.ndarray) -> Column:
+    """Struct of tokens and topic of a text: measured and placed by one function, so a task has one worker."""
+
+    def run(texts: pa.Array, language: pa.Array) -> pa.Array:
+        words = once_a_worker("word vectors", WordVectors)
+        found = [measure(t.as_py(), words) for t in texts]
+        tidy()
+        vectors = np.array([f[1] for f in found], np.float16).reshape(-1, WIDTH)
+        topics = nearest(vectors, language.to_numpy(zero_copy_only=False), means, centres)
+        return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f"t{k}" for k in topics.tolist()], pa.string())], names=["tokens", "topic"])
+
+    run.__annotations__ = {"texts": pa.Array, "language": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "struct<tokens: bigint, topic: string>")(F.col(f"`{text_col}`").cast("string"), language)
+
+
 def _vectors(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(-1, WIDTH)
 
@@ -212,7 +228,7 @@ def probabilities(observed: np.ndarray, targets: list[np.ndarray], rounds: int =
     return np.where(observed > 0, best, 1.0)
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]], text_col: str = "text", id_col: str = "doc_id", *, language_col: str = "lang", topics: int = TOPICS, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]], text_col: str = "text", id_col: str = "doc_id", *, language_col: str = "lang", topics: int = TOPICS, seed: int = 17, with_text: bool = True) -> DataFrame:
     """docs with column _mix: struct of tokens, topic, weight, probability, sampled.
 
     targets names for each dimension (a column of docs, or "topic", measured from
@@ -224,7 +240,8 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]], text_col: str = "
     its id and text, as a number from 0 to 1, is below it. So repeated rows are sampled
     alike. Documents without a token weigh nothing in the fit and have their cell's
     weight and probability, or 1 where the cell has no tokens. All columns of docs
-    stay; _mix must not be one of them (ValueError). An empty table gives an empty one.
+    stay, but for the text unless with_text, which spares a second pass over the texts;
+    _mix must not be one of them (ValueError). An empty table gives an empty one.
     Targets that can't all be met give a warning.
     """
     refuse(docs, "_mix")
@@ -245,8 +262,11 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]], text_col: str = "
     plain = {d: number(F.col(f"`{d}`").cast("string"), n).alias(f"_c{k}") for k, (d, n) in enumerate(zip(dims, named, strict=True)) if d != "topic"}
     language = (number(F.col(f"`{language_col}`").cast("string"), known) if language_col in docs.columns else F.lit(0)).alias("language")
     keys = [f"_c{k}" for k in range(len(dims))]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if with_text or c != text_col]).alias("_row")
+    drawn = (F.shiftrightunsigned(F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`").cast("string"), F.lit(seed)), 11) / F.lit(float(1 << 53))).alias("_drawn")
+    output = [] if with_text else [row, drawn]  # of a row: what the output has of it
     # narrow: categories, tokens and a vector of 128 bytes; the fit reads no text again
-    narrow = cut(docs.select(*plain.values(), language, _measured(text_col).alias("m")).select(*[c for c in keys if c in {f"_c{dims.index(d)}" for d in plain}], "language", "m.tokens", "m.vector"), "measured")
+    narrow = cut(docs.select(*output, *plain.values(), language, _measured(text_col).alias("m")).select(*["_row", "_drawn"][: len(output)], *[c for c in keys if c in {f"_c{dims.index(d)}" for d in plain}], "language", "m.tokens", "m.vector"), "measured")
     means, centres = topics_of(narrow, len(known) + 1, topics) if "topic" in dims else (np.zeros((len(known) + 1, WIDTH), np.float32), np.zeros((1, WIDTH), np.float32))
 
     def topic(language: pa.Array, vector: pa.Array) -> pa.Array:
@@ -265,9 +285,10 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]], text_col: str = "
     chance = probabilities(observed, wanted)
     table = [(*map(int, i), float(weight[i]), float(chance[i])) for i in np.ndindex(*observed.shape)]
     factors = docs.sparkSession.createDataFrame(table, ", ".join([f"{k} int" for k in keys] + ["_weight double", "_probability double"]))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    drawn = F.shiftrightunsigned(F.xxhash64(F.col("_row")[id_col].cast("string"), F.col("_row")[text_col].cast("string"), F.lit(seed)), 11) / F.lit(float(1 << 53))
-    measured = docs.select(row, *plain.values(), language, _measured(text_col).alias("_m")).withColumn("topic", topic_of("language", F.col("_m.vector"))).select("*", *of_topic)
+    if with_text:
+        measured = docs.select(row, drawn, *plain.values(), _placed(text_col, language, means, centres).alias("m")).select("*", "m.tokens", "m.topic").select("*", *of_topic)
+    else:
+        measured = with_topic
     joined = measured.join(F.broadcast(factors), keys)
-    out = F.struct(F.col("_m.tokens").alias("tokens"), F.col("topic"), F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), (drawn < F.col("_probability")).alias("sampled"))
+    out = F.struct("tokens", "topic", F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), (F.col("_drawn") < F.col("_probability")).alias("sampled"))
     return joined.select("_row", out.alias("_mix")).select("_row.*", "_mix")

@@ -72,7 +72,7 @@ TARGETS = {
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"), TARGETS).select("doc_id", "source", "lang", "_mix.*")
+    return mix(table(spark, sf_dir, "documents"), TARGETS, with_text=False).select("doc_id", "source", "lang", "_mix.*")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -664,6 +664,25 @@ def test_mix(docs, texts, spark):
     assert mix(docs.limit(0), targets).count() == 0
 
 
+def test_mix_without_texts_reads_them_once(docs):
+    targets = {"source": {"s0": 0.3}, "topic": {f"t{k}": 0.125 for k in range(8)}}
+    whole, narrow = mix(docs, targets), mix(docs, targets, with_text=False)
+    assert narrow.columns == [c for c in whole.columns if c != "text"]
+    key = lambda r: (r.doc_id, str(r))
+    assert sorted(narrow.collect(), key=key) == sorted(whole.drop("text").collect(), key=key)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "text#" not in plan(narrow) and plan(whole).count("ArrowEvalPython") == 1  # a task has one worker
+
+
+def test_a_worker_keeps_what_it_uses():
+    from odflow.llm.common import once_a_worker
+
+    made = []
+    for name in ("one", "one", "two", "one"):
+        once_a_worker(name, lambda: made.append(name) or name)
+    assert made == ["one", "two", "one"]
+
+
 def test_topics_are_found_within_languages(spark):
     rng = np.random.default_rng(8)
     words = {(g, t): [f"{g}{t}w{k}" for k in range(30)] for g in ("en", "de") for t in range(3)}
