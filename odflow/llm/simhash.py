@@ -82,7 +82,7 @@ def signatures(key: np.ndarray, used: np.ndarray, fp: np.ndarray) -> Iterator[tu
 
 def _expand(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(a, 2500) for whole in batches for a in range(0, whole.num_rows, 2500)):  # 67 signatures a row
             x = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for c in ("key", "used", "fp")]
             parts = [(k, u, np.full(len(k), bit, np.int8), f) for k, u, bit, f in signatures(*x)]
             if not parts:
@@ -94,6 +94,7 @@ def _expand(buckets: int):
             full, cuts = runs(bucket[order])
             cols = [pa.array([c[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()) for c in (key, used, bit, fp)]
             yield pa.record_batch([pa.array(full.astype(np.int64)), *cols], names=["bucket", "keys", "masks", "bits", "fps"])
+        tidy()
 
     return run
 
