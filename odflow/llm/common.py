@@ -33,9 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage ends here, lost executors lose nothing. The table goes as the session ends."""
+def cut(df: DataFrame, name: str, at_most: int | None = None) -> DataFrame:
+    """Write df once to the shared folder and read it back: lineage ends here, lost executors lose nothing. The table goes as the session ends.
+
+    at_most: of files, and so of tasks in df's last stage. A small table that many
+    partitions of a shuffle write costs a file for each of them, and Hadoop starts two
+    processes (chmod) for each file that it makes on a local disk without its native library.
+    """
     spark = df.sparkSession
+    df = df.coalesce(at_most) if at_most else df
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     until_exit(spark, path)

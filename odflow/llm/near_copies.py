@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, tidy, with_bloom
+from .common import buckets_for, cut, tidy, with_bloom
 from .simhash import NEAR, near_duplicates
 
 BANDS, EACH = 56, 7
@@ -100,15 +100,15 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tidy()
 
 
-def prefixes(sets: DataFrame, least: float) -> DataFrame:
+def prefixes(sets: DataFrame, least: float, files: int | None = None) -> DataFrame:
     """(key, band): of each set the shingles, as bands, that any set at a similarity of least or more has one of among its own.
 
     Such two have least of either's shingles in common. In one order for all sets, rarest
     first, the common ones can't all lie behind the first n - least n + 1 of a set's n.
     What no other set has comes first and is left out.
     """
-    each = cut(sets.mapInArrow(_each, "key long, n long, shingle long"), "shingles")
-    often = cut(each.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1"), "often")
+    each = cut(sets.mapInArrow(_each, "key long, n long, shingle long"), "shingles", files)
+    often = cut(each.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1"), "often", files)
     own = Window.partitionBy("key")
     found = each.join(often, "shingle").withColumn("m", F.count("*").over(own)).withColumn("r", F.row_number().over(own.orderBy("times", "shingle")))
     first = F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-6)) + 1
@@ -142,12 +142,12 @@ def _kept(rows: DataFrame, keepers: DataFrame, unsure: DataFrame) -> DataFrame:
     return marked.where(~maybe).select("_row").unionByName(rest.select("_row"))
 
 
-def _compared(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def _compared(links: DataFrame, sets: DataFrame, least: float, files: int) -> DataFrame:
     """links (a, b), each once, with whether their texts are alike."""
     with_b = links.withColumn("key", F.col("b.key")).join(_linked(sets, links, "b"), "key").drop("key")
     both = with_b.withColumn("key", F.col("a.key")).join(_linked(sets, links, "a"), "key").drop("key")
     place = "struct<null: boolean, id: long, key: long>"
-    return cut(both.select("a", "b", "set_a", "set_b").mapInArrow(_check(least), f"a {place}, b {place}, alike boolean"), "compared")
+    return cut(both.select("a", "b", "set_a", "set_b").coalesce(files).mapInArrow(_check(least), f"a {place}, b {place}, alike boolean"), "compared")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words_each: int = 5, near: int = NEAR, least: float = LEAST) -> DataFrame:
@@ -158,67 +158,68 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     Columns stay as they are; an empty table gives an empty one. Texts go by a
     64-bit hash of theirs.
     """
+    files = buckets_for(docs, 8 << 20, 2 * docs.sparkSession.sparkContext.defaultParallelism)  # of a table that a shuffle makes, at most
     text, name = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(id_col).cast("long")
     label = F.coalesce(F.col("place.id").cast("string"), F.lit("")).alias("label")
     key = F.xxhash64(text)
     named = docs.select(key.alias("key"), F.struct(name.isNull().alias("null"), name.alias("id"), key.alias("key")).alias("place"), text.alias("text"))
-    firsts = cut(named.groupBy("key").agg(F.min("place").alias("place")), "firsts")  # of each text; copies have ids of their own, so key and id together are no hot key
+    firsts = cut(named.groupBy("key").agg(F.min("place").alias("place")), "firsts", files)  # of each text; copies have ids of their own, so key and id together are no hot key
     sketches = cut(named.select("key", "text").mapInArrow(_sketch(words_each), "key long, bands array<long>"), "bands")
     flat = sketches.select("key", F.explode("bands").alias("band"))
-    shared = cut(flat.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("band"), "shared")
-    live = cut(flat.join(shared, "band", "left_semi").join(firsts, "key").select("band", "place"), "members")
-    prints = near_duplicates(named.select("key", "text"), "key", "text", words_each=words_each, near=near)
-    member = cut(prints.select("component_id", F.col("doc_id").alias("key")).distinct().join(firsts, "key").select("component_id", "place"), "components")
-    first = cut(member.groupBy("component_id").agg(F.min("place").alias("a")), "centres")
-    by_print = cut(member.join(first, "component_id").where("a < place").select("a", F.col("place").alias("b")), "by_print")
+    shared = cut(flat.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("band"), "shared", files)
+    live = cut(flat.join(shared, "band", "left_semi").join(firsts, "key").select("band", "place"), "members", files)
+    prints = near_duplicates(named.select("key", "text"), "key", "text", words_each=words_each, near=near, files=files)
+    member = cut(prints.select("component_id", F.col("doc_id").alias("key")).distinct().join(firsts, "key").select("component_id", "place"), "components", files)
+    first = cut(member.groupBy("component_id").agg(F.min("place").alias("a")), "centres", files)
+    by_print = cut(member.join(first, "component_id").where("a < place").select("a", F.col("place").alias("b")), "by_print", files)
     ends = live.select("place").unionByName(by_print.select(F.col("a").alias("place"))).unionByName(by_print.select(F.col("b").alias("place")))
-    wanted = cut(ends.distinct().select(F.col("place.key").alias("key"), label), "wanted")
+    wanted = cut(ends.distinct().select(F.col("place.key").alias("key"), label), "wanted", files)
     marked, maybe = with_bloom(named.select("key", label, "text", F.col("key").alias("k1")), wanted.select(F.col("key").alias("k1")))  # most texts have no candidate and stay where they are
     texts = marked.where(maybe).select("key", "label", "text").join(wanted, ["key", "label"], "left_semi").dropDuplicates(["key", "label"])
-    sets = cut(texts.select("key", "text").mapInArrow(_sets(words_each), "key long, set binary"), "sets")
+    sets = cut(texts.select("key", "text").coalesce(files).mapInArrow(_sets(words_each), "key long, set binary"), "sets")
     tested = gone = None
-    links = cut(_centred(live, 1).unionByName(by_print).distinct(), "links")
+    links = cut(_centred(live, 1, files).unionByName(by_print).distinct(), "links", files)
     for refined in (False, True):
         if refined:
-            crowd = cut(large.select("place").distinct().join(gone, "place", "left_anti"), "crowd")
+            crowd = cut(large.select("place").distinct().join(gone, "place", "left_anti"), "crowd", files)
             if crowd.isEmpty():
                 large = crowd
                 break
-            own = cut(crowd.select(F.col("place.key").alias("key")).distinct(), "keys")
-            rare = prefixes(sets.join(own, "key", "left_semi"), least)
-            keyed = cut(rare.join(crowd.withColumn("key", F.col("place.key")), "key").select("band", "place"), "prefixes")
-            several = cut(keyed.groupBy("band").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a < b").select("band"), "several")
-            live = cut(keyed.join(several, "band", "left_semi"), "members")
-            links = cut(_centred(live, 1).join(tested, ["a", "b"], "left_anti"), "links")
+            own = cut(crowd.select(F.col("place.key").alias("key")).distinct(), "keys", files)
+            rare = prefixes(sets.join(own, "key", "left_semi"), least, files)
+            keyed = cut(rare.join(crowd.withColumn("key", F.col("place.key")), "key").select("band", "place"), "prefixes", files)
+            several = cut(keyed.groupBy("band").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a < b").select("band"), "several", files)
+            live = cut(keyed.join(several, "band", "left_semi"), "members", files)
+            links = cut(_centred(live, 1, files).join(tested, ["a", "b"], "left_anti"), "links", files)
         for centres in (1, SMALL):
-            fresh = _compared(links, sets, least)
+            fresh = _compared(links, sets, least, files)
             tested = fresh if tested is None else tested.unionByName(fresh)
-            gone = cut(tested.where("alike").select(F.col("b").alias("place")).distinct(), "gone")
+            gone = cut(tested.where("alike").select(F.col("b").alias("place")).distinct(), "gone", files)
             if centres < SMALL:
-                left = live.join(cut(_first(live), "centres").select("band", F.col("a").alias("place")), ["band", "place"], "left_anti").distinct()
-                live = cut(left.join(gone, "place", "left_anti"), "members")
-                sizes = cut(live.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+                left = live.join(cut(_first(live), "centres", files).select("band", F.col("a").alias("place")), ["band", "place"], "left_anti").distinct()
+                live = cut(left.join(gone, "place", "left_anti"), "members", files)
+                sizes = cut(live.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "sizes", files)
                 large = live.join(sizes.where(F.col("n") > SMALL).select("band"), "band", "left_semi")
                 small = live.join(sizes.where(F.col("n") <= SMALL).select("band"), "band", "left_semi")
-                links = cut(_centred(cut(small, "small"), SMALL).join(tested, ["a", "b"], "left_anti"), "links")
+                links = cut(_centred(cut(small, "small", files), SMALL, files).join(tested, ["a", "b"], "left_anti"), "links", files)
     centres = 2
     while not large.isEmpty():  # crowds that share a shingle of their prefixes: more centres each time
-        large = cut(large.join(gone, "place", "left_anti"), "large")
-        links = cut(_centred(large, centres).join(tested, ["a", "b"], "left_anti"), "links")
-        fresh = _compared(links, sets, least)
+        large = cut(large.join(gone, "place", "left_anti"), "large", files)
+        links = cut(_centred(large, centres, files).join(tested, ["a", "b"], "left_anti"), "links", files)
+        fresh = _compared(links, sets, least, files)
         tested = tested.unionByName(fresh)
-        gone = cut(tested.where("alike").select(F.col("b").alias("place")).distinct(), "gone")
-        ranked = cut(_ranked(large), "ranked")
+        gone = cut(tested.where("alike").select(F.col("b").alias("place")).distinct(), "gone", files)
+        ranked = cut(_ranked(large), "ranked", files)
         over = ranked.where(F.col("n") > centres).select("band", "place")
-        more = cut(over.groupBy("band").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a < b").select("band"), "several")
-        large, centres = cut(over.join(more, "band", "left_semi"), "large"), 2 * centres
-    losers = cut(tested.where("alike").select(F.col("b.key").alias("key")).distinct(), "losers")
-    keepers = cut(firsts.join(losers, "key", "left_anti").select("key", label), "keepers")
+        more = cut(over.groupBy("band").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a < b").select("band"), "several", files)
+        large, centres = cut(over.join(more, "band", "left_semi"), "large", files), 2 * centres
+    losers = cut(tested.where("alike").select(F.col("b.key").alias("key")).distinct(), "losers", files)
+    keepers = cut(firsts.join(losers, "key", "left_anti").select("key", label), "keepers", files)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     rows = docs.select(row, key.alias("key"), F.coalesce(name.cast("string"), F.lit("")).alias("label"))
     times = rows.groupBy("key", "label").agg(F.count("*").alias("n")).join(keepers.withColumn("stays", F.lit(True)), ["key", "label"], "left")
-    unsure = cut(times.where("stays is null or n > 1").select("key"), "unsure")  # texts of which a row goes
-    return _kept(rows, keepers, unsure).select("_row.*")
+    unsure = cut(times.where("stays is null or n > 1").select("key"), "unsure", files)  # texts of which a row goes
+    return _kept(rows, keepers, unsure).select("_row.*").coalesce(files)
 
 
 def _first(members: DataFrame) -> DataFrame:
@@ -230,7 +231,7 @@ def _ranked(members: DataFrame) -> DataFrame:
     return members.distinct().withColumn("n", F.row_number().over(Window.partitionBy("band").orderBy("place")))
 
 
-def _centred(members: DataFrame, centres: int) -> DataFrame:
+def _centred(members: DataFrame, centres: int, files: int) -> DataFrame:
     """Links (a, b) from the first members of each band to those after them, each once."""
     first = _first(members) if centres == 1 else _ranked(members).where(F.col("n") <= centres).select("band", F.col("place").alias("a"))
-    return members.join(cut(first, "centres"), "band").where("a < place").select("a", F.col("place").alias("b")).distinct()
+    return members.join(cut(first, "centres", files), "band").where("a < place").select("a", F.col("place").alias("b")).distinct()

@@ -184,36 +184,37 @@ def _match(near: int, large: int):
     return run
 
 
-def near_links(prints: DataFrame, buckets: int, near: int = NEAR, large: int = 4096) -> DataFrame:
+def near_links(prints: DataFrame, buckets: int, near: int = NEAR, large: int = 4096, files: int | None = None) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of the distinct fingerprints fp within near bits."""
     if near // SEGMENTS > 1:
         raise ValueError("three segments leave at most one bit in one of them only up to 5 differing bits")
     todo, found = prints.select(F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("used"), "fp"), None
     while found is None or not todo.isEmpty():  # each time at least a third of the bits left are used up
         blobs = todo.mapInArrow(_expand(buckets), "bucket long, keys binary, masks binary, bits binary, fps binary")
-        out = cut(blobs.groupBy("bucket").applyInArrow(_match(near, large), "a long, b long, fp long, again boolean"), "links")
+        out = cut(blobs.groupBy("bucket").applyInArrow(_match(near, large), "a long, b long, fp long, again boolean"), "links", files)
         links = out.where("not again").select("a", "b")
         found = links if found is None else found.unionByName(links)
         todo = out.where("again").select(F.col("a").alias("key"), F.col("b").alias("used"), "fp")
     return found
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words_each: int = 4, near: int = NEAR) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words_each: int = 4, near: int = NEAR, files: int | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row.
 
     component_id is the smallest id reachable over fingerprints that differ in at
     most near bits, null if all ids there are null. Null and empty texts have no
     words, so fingerprint zero, linked like any other. Repeated rows share a
-    component. Other columns are ignored. An empty table gives an empty one.
+    component. Other columns are ignored. An empty table gives an empty one. files: of a table
+    that a shuffle makes at most; as many as its partitions if None.
     """
     two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     buckets = buckets_for(docs, 4 << 20, 64)
     prints = cut(two.mapInArrow(_fingerprints(words_each), "doc_id long, fp long"), "prints")
-    groups = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "groups")
+    groups = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "groups", files)
     # what a skewed key could make large is joined with a written table only: such joins are split at run time
-    linked = cut(groups.join(components(near_links(groups.select("fp"), buckets, near)).withColumnRenamed("node", "fp"), "fp"), "linked")
-    by_root = cut(linked.groupBy("root").agg(F.min("first").alias("component_id")), "roots")
+    linked = cut(groups.join(components(near_links(groups.select("fp"), buckets, near, files=files), files).withColumnRenamed("node", "fp"), "fp"), "linked", files)
+    by_root = cut(linked.groupBy("root").agg(F.min("first").alias("component_id")), "roots", files)
     of_linked = linked.join(by_root, "root").select("fp", "component_id")
     alone = groups.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("first").alias("component_id"))
-    of_print = cut(of_linked.unionByName(alone), "of_print")
+    of_print = cut(of_linked.unionByName(alone), "of_print", files)
     return prints.join(of_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -169,3 +169,26 @@ def test_only_texts_that_are_linked_or_go_are_shuffled(spark):
     keepers = spark.createDataFrame([(0, "0"), (1, "1"), (2, "2"), (4, "4")], "key long, label string")
     unsure = spark.createDataFrame([(0,), (1,), (2,), (3,)], "key long")  # 0, 1 and 2 twice, 3 goes
     assert sorted(r._row.key for r in near_copies._kept(rows, keepers, unsure).collect()) == [0, 1, 2, 4]
+
+
+def test_small_tables_are_few_files(spark):
+    """However many partitions shuffles have, a table is written by two tasks a core at most, if its input is small."""
+    from odflow.llm.common import shared_dir
+
+    rows = [(i, f"{t} {i}" if i % 3 else t) for i, t in enumerate(varied(np.random.default_rng(11))[:40])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    shared = shared_dir(spark).removeprefix("file:")
+    few = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, was = set(os.listdir(shared)), {k: spark.conf.get(k) for k in few}
+    try:
+        for k, v in few.items():
+            spark.conf.set(k, v)
+        got = keep_one(df)
+        assert got.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+        ids = [r.doc_id for r in got.collect()]
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    check_kept(rows, ids)
+    made = {d: sum(f.endswith(".parquet") for f in os.listdir(f"{shared}/{d}")) for d in set(os.listdir(shared)) - before}
+    assert len(made) > 20 and max(made.values()) <= 2 * spark.sparkContext.defaultParallelism, made
