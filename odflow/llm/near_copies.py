@@ -101,18 +101,20 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def prefixes(sets: DataFrame, least: float, files: int | None = None) -> DataFrame:
-    """(key, band): of each set the shingles, as bands, that any set at a similarity of least or more has one of among its own.
+    """(key, band, size, at): of each set the shingles, as bands, that any set at a similarity of least or more has one of among its own.
 
     Such two have least of either's shingles in common. In one order for all sets, rarest
     first, the common ones can't all lie behind the first n - least n + 1 of a set's n.
-    What no other set has comes first and is left out.
+    What no other set has comes first and is left out. A set has size shingles, and the band
+    is the at-th of them.
     """
     each = cut(sets.mapInArrow(_each, "key long, n long, shingle long"), "shingles", files)
     often = cut(each.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1"), "often", files)
     own = Window.partitionBy("key")
     found = each.join(often, "shingle").withColumn("m", F.count("*").over(own)).withColumn("r", F.row_number().over(own.orderBy("times", "shingle")))
     first = F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-6)) + 1
-    return found.where(F.col("n") - F.col("m") + F.col("r") <= first).select("key", F.col("shingle").alias("band"))
+    place = F.col("n") - F.col("m") + F.col("r")
+    return found.where(place <= first).select("key", F.col("shingle").alias("band"), F.col("n").alias("size"), place.alias("at"))
 
 
 def _check(least: float):
@@ -178,7 +180,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     texts = marked.where(maybe).select("key", "label", "text").join(wanted, ["key", "label"], "left_semi").dropDuplicates(["key", "label"])
     sets = cut(texts.select("key", "text").coalesce(files).mapInArrow(_sets(words_each), "key long, set binary"), "sets")
     tested = gone = None
-    links = cut(_centred(live, 1, files).unionByName(by_print).distinct(), "links", files)
+    links = cut(_centred(live, 1, files, least).unionByName(by_print).distinct(), "links", files)
     for refined in (False, True):
         if refined:
             crowd = cut(large.select("place").distinct().join(gone, "place", "left_anti"), "crowd", files)
@@ -187,10 +189,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
                 break
             own = cut(crowd.select(F.col("place.key").alias("key")).distinct(), "keys", files)
             rare = prefixes(sets.join(own, "key", "left_semi"), least, files)
-            keyed = cut(rare.join(crowd.withColumn("key", F.col("place.key")), "key").select("band", "place"), "prefixes", files)
+            keyed = cut(rare.join(crowd.withColumn("key", F.col("place.key")), "key").select("band", "place", "size", "at"), "prefixes", files)
             several = cut(keyed.groupBy("band").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a < b").select("band"), "several", files)
             live = cut(keyed.join(several, "band", "left_semi"), "members", files)
-            links = cut(_centred(live, 1, files).join(tested, ["a", "b"], "left_anti"), "links", files)
+            links = cut(_centred(live, 1, files, least).join(tested, ["a", "b"], "left_anti"), "links", files)
         for centres in (1, SMALL):
             fresh = _compared(links, sets, least, files)
             tested = fresh if tested is None else tested.unionByName(fresh)
@@ -201,16 +203,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
                 sizes = cut(live.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "sizes", files)
                 large = live.join(sizes.where(F.col("n") > SMALL).select("band"), "band", "left_semi")
                 small = live.join(sizes.where(F.col("n") <= SMALL).select("band"), "band", "left_semi")
-                links = cut(_centred(cut(small, "small", files), SMALL, files).join(tested, ["a", "b"], "left_anti"), "links", files)
+                links = cut(_centred(cut(small, "small", files), SMALL, files, least).join(tested, ["a", "b"], "left_anti"), "links", files)
     centres = 2
     while not large.isEmpty():  # crowds that share a shingle of their prefixes: more centres each time
         large = cut(large.join(gone, "place", "left_anti"), "large", files)
-        links = cut(_centred(large, centres, files).join(tested, ["a", "b"], "left_anti"), "links", files)
+        links = cut(_centred(large, centres, files, least).join(tested, ["a", "b"], "left_anti"), "links", files)
         fresh = _compared(links, sets, least, files)
         tested = tested.unionByName(fresh)
         gone = cut(tested.where("alike").select(F.col("b").alias("place")).distinct(), "gone", files)
         ranked = cut(_ranked(large), "ranked", files)
-        over = ranked.where(F.col("n") > centres).select("band", "place")
+        over = ranked.where(F.col("n") > centres).drop("n")
         more = cut(over.groupBy("band").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a < b").select("band"), "several", files)
         large, centres = cut(over.join(more, "band", "left_semi"), "large", files), 2 * centres
     losers = cut(tested.where("alike").select(F.col("b.key").alias("key")).distinct(), "losers", files)
@@ -223,15 +225,26 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
 
 
 def _first(members: DataFrame) -> DataFrame:
-    """(band, a): the first member of each band that has more than one."""
-    return members.groupBy("band").agg(F.min("place").alias("a"), F.max("place").alias("high")).where("a < high").select("band", "a")
+    """(band, a, a_size, a_at): the first member of each band that has more than one; sizes and places where members have them."""
+    own = [c for c in ("size", "at") if c in members.columns]
+    found = members.groupBy("band").agg(F.min(F.struct("place", *own)).alias("low"), F.max("place").alias("high")).where("low.place < high")
+    return found.select("band", F.col("low.place").alias("a"), *[F.col(f"low.{c}").alias(f"a_{c}") for c in own])
 
 
 def _ranked(members: DataFrame) -> DataFrame:
     return members.distinct().withColumn("n", F.row_number().over(Window.partitionBy("band").orderBy("place")))
 
 
-def _centred(members: DataFrame, centres: int, files: int) -> DataFrame:
-    """Links (a, b) from the first members of each band to those after them, each once."""
-    first = _first(members) if centres == 1 else _ranked(members).where(F.col("n") <= centres).select("band", F.col("place").alias("a"))
-    return members.join(cut(first, "centres", files), "band").where("a < place").select("a", F.col("place").alias("b")).distinct()
+def _centred(members: DataFrame, centres: int, files: int, least: float) -> DataFrame:
+    """Links (a, b) from the first members of each band to those after them, each once.
+
+    Bands of prefixes have a place in each set's order. At the first band that two sets
+    share, what they have in common is it and what follows in both; where that is too
+    little for least, the two are not alike, or they meet in an earlier band.
+    """
+    own = [c for c in ("size", "at") if c in members.columns]
+    first = _first(members) if centres == 1 else _ranked(members).where(F.col("n") <= centres).select("band", F.col("place").alias("a"), *[F.col(c).alias(f"a_{c}") for c in own])
+    both = members.join(cut(first, "centres", files), "band").where("a < place")
+    if own:
+        both = both.where(1 + F.least(F.expr("size - at"), F.expr("a_size - a_at")) >= F.expr("size + a_size") * F.lit(least / (1 + least)) - F.lit(1e-6))
+    return both.select("a", F.col("place").alias("b")).distinct()

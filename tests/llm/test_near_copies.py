@@ -192,3 +192,13 @@ def test_small_tables_are_few_files(spark):
     check_kept(rows, ids)
     made = {d: sum(f.endswith(".parquet") for f in os.listdir(f"{shared}/{d}")) for d in set(os.listdir(shared)) - before}
     assert len(made) > 20 and max(made.values()) <= 2 * spark.sparkContext.defaultParallelism, made
+
+
+def test_members_of_a_prefix_meet_only_where_enough_follows(spark):
+    """Of sets that share one band late in their order no link is made; where enough follows, it is."""
+    from odflow.llm import near_copies
+
+    place = "named_struct('null', false, 'id', id, 'key', id) place"
+    members = spark.range(6).selectExpr("id % 2 band", place, "100L size", "if(id % 2 = 0, 5L, 18L) at")  # 96 and 83 of at least 88.9 follow
+    for centres, want in ((1, {(0, 2), (0, 4)}), (4, {(0, 2), (0, 4), (2, 4)})):
+        assert {(r.a.id, r.b.id) for r in near_copies._centred(members, centres, 2, 0.8).collect()} == want
