@@ -482,6 +482,25 @@ def test_packed_pairs(spark):
     assert set(got) == set(want) and all(want[o] is None or got[o] == pytest.approx(want[o], rel=1e-12) for o in want)
 
 
+@needs_tables
+@pytest.mark.parametrize("few", [1, 10**9])
+def test_nearest_are_found_without_pairs(spark, few, monkeypatch):
+    """The pairs of features_knn are made once, at its end, and neither sorted nor joined by location."""
+    monkeypatch.setattr(pairs, "FEW_PAIRS", few)
+    plan = QUERIES["features_knn"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Join") == 1 and "SortMergeJoin" not in plan.replace("SortMergeJoin [tile_id", "")
+    test_query_against_duckdb(spark, "features_knn")
+
+
+def test_nearest_of_packed_pairs(spark):
+    """A tile of one, of two, of equal places, and an id with two rows in a tile and one in another: as by windows over pairs."""
+    rows = [("one", "a", 1.0, 1.0), ("x", "b", 0.0, 0.0), ("y", "b", 0.0, 3.0), *[(f"L{k}", "c", float(k % 4), float(k * 7 % 5)) for k in range(12)], ("twice", "c", 2.0, 2.0), ("twice", "c", 2.0, 2.0), ("twice", "b", 2.0, 2.0), ("lost", None, 0.0, 0.0)]
+    loc = pairs.with_angles(spark.createDataFrame(rows, "loc_id string, tile_id string, lat double, lng double")).withColumn("ln_pop", F.lit(0.0))
+    want = pairs.nearest_distances(pairs.with_distance(pairs.od_pairs(loc, ("lat", "lng"))), 3)
+    got = {r.loc_id: r.near for r in tiles.nearest(tiles.dealt(loc, 4), 3).collect()}
+    assert len(got) == 15 and got == {r.loc_id: pytest.approx(r.near, rel=1e-12) for r in want.collect()}
+
+
 @needs_tables
 @pytest.mark.parametrize("name", ["features_ng", "generated_flow"])
 def test_destinations_are_not_dealt_to_every_part(spark, name, monkeypatch):
