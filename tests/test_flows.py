@@ -501,6 +501,48 @@ def test_nearest_of_packed_pairs(spark):
     assert len(got) == 15 and got == {r.loc_id: pytest.approx(r.near, rel=1e-12) for r in want.collect()}
 
 
+@needs_tables
+def test_the_full_net_needs_no_rows_of_pairs(spark, monkeypatch):
+    def refuse(*args, **kw):
+        raise AssertionError("pairs as rows")
+
+    monkeypatch.setattr(pairs, "od_pairs", refuse)
+    assert QUERIES["mlp_full"](spark, SF).count() == 26
+
+
+def test_a_net_runs_once_for_locations_alike(spark, tmp_path, monkeypatch):
+    """Three tiles; L0 to L11 have four places, three of each, one of them with two features, and an id comes twice."""
+    rows = [(f"L{k}", "a", float(k % 4), 2.0, 5.0 if k == 3 else -1.5, float(k % 4)) for k in range(12)] + [("one", "b", 0.0, 2.0, -1.5, 0.0), ("twice", "c", 1.0, 1.0, 0.0, 7.0), ("twice", "c", 1.0, 1.0, 0.0, 7.0), ("none", "c", 1.0, 1.0, None, 7.0), ("lost", None, 1.0, 1.0, 0.0, 0.0)]
+    loc = pairs.with_angles(spark.createDataFrame(rows, "loc_id string, tile_id string, lat double, lng double, u double, v double")).withColumn("ln_pop", F.lit(0.0))
+    made = pairs.with_distance(pairs.od_pairs(loc, ("lat", "lng", "u", "v"))).select("origin", "destination", "o_u", "o_v", "d_u", "d_v", "dist").collect()
+    layers = mlp.initial_layers([5, 6, 4, 1], 3)
+    x = np.array([[np.nan if v is None else v for v in r[2:]] for r in made])
+    key = lambda r: (r[0], r[1], r[2] is None, r[2] or 0.0)
+    want = sorted(((r.origin, r.destination, None if np.isnan(s) else s) for r, s in zip(made, mlp.forward(np.sign(x) * np.log(1 + np.abs(x)), layers)[-1][:, 0], strict=True)), key=key)
+    runs, plain = str(tmp_path / "runs"), mlp.outputs
+
+    def noted(x, layers):
+        with open(runs, "a") as f:
+            f.write(f"{len(x)}\n")
+        return plain(x, layers)
+
+    monkeypatch.setattr(tiles, "outputs", noted)
+    got = sorted((tuple(r) for r in tiles.net_scores(tiles.dealt(loc, 4, more=("u", "v"), alike=True), layers, ("u", "v")).collect()), key=key)
+    assert [r[:2] for r in got] == [r[:2] for r in want] and len(got) == 12 * 12 + 1 + 3 * 3
+    assert all(g[2] == w[2] or g[2] == pytest.approx(w[2], abs=1e-12) for g, w in zip(got, want, strict=True))
+    assert sorted(open(runs).read().split()) == ["1", "2", "2", *["5"] * 5]
+
+
+def test_totals_of_features_are_alike_in_any_order(spark):
+    from odflow.plans.bindings import _total
+
+    values = [0.1, 1e8 + 0.7, -3.3, 1e-9, 0.2, 12345.67, 1e12, -0.3, 99.99] * 9
+    orders = [values, values[::-1], sorted(values), sorted(values, key=abs, reverse=True)]
+    df = spark.createDataFrame([(k, v) for k, o in enumerate(orders) for v in [*o, None]] + [(9, None), (8, float("nan"))], "k int, v double")
+    got = {r.k: r.s for r in df.groupBy("k").agg(_total("v").alias("s")).collect()}
+    assert {got[k] for k in range(4)} == {math.fsum(values)} and got[9] is None and math.isnan(got[8])
+
+
 @needs_tables
 @pytest.mark.parametrize("name", ["features_ng", "generated_flow"])
 def test_destinations_are_not_dealt_to_every_part(spark, name, monkeypatch):
