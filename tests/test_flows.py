@@ -510,6 +510,16 @@ def test_the_full_net_needs_no_rows_of_pairs(spark, monkeypatch):
     assert QUERIES["mlp_full"](spark, SF).count() == 26
 
 
+@needs_tables
+@pytest.mark.parametrize("name", ["features_knn", "mlp_full"])
+def test_flows_are_not_written_for_populations_only(spark, name, monkeypatch):
+    from odflow.plans import bindings
+
+    names, plain = [], bindings.written
+    monkeypatch.setattr(bindings, "written", lambda df, name: names.append(name) or plain(df, name))
+    assert QUERIES[name](spark, SF).count() and names and "flows" not in names
+
+
 def test_a_net_runs_once_for_locations_alike(spark, tmp_path, monkeypatch):
     """Three tiles; L0 to L11 have four places, three of each, one of them with two features, and an id comes twice."""
     rows = [(f"L{k}", "a", float(k % 4), 2.0, 5.0 if k == 3 else -1.5, float(k % 4)) for k in range(12)] + [("one", "b", 0.0, 2.0, -1.5, 0.0), ("twice", "c", 1.0, 1.0, 0.0, 7.0), ("twice", "c", 1.0, 1.0, 0.0, 7.0), ("none", "c", 1.0, 1.0, None, 7.0), ("lost", None, 1.0, 1.0, 0.0, 0.0)]
